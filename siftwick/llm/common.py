@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,4 +76,6 @@ def unit_hash(*cols: Column) -> Column:
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers started from now on find this package as the driver does
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

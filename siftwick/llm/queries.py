@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, license_scan, packing, quality, toxicity
+from . import exact_dedup, langid, license_scan, mixing, packing, quality, sharding, toxicity, warc
 from .common import tables
 
 
@@ -22,11 +22,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(tables(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(tables(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, tables(spark, sf_dir, "labels")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 
@@ -35,6 +43,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(tables(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(tables(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -43,5 +55,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.quality_sql(),
         "op2_exact_dedup": exact_dedup.EXACT_SQL,
+        "op5_warc": warc.ROUND_TRIP_SQL,
         "op9_license_scan": license_scan.license_sql(),
     }
