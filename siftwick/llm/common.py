@@ -1,58 +1,18 @@
-"""Helpers the training-data operators share: written tables, folds, hashes."""
+"""Helpers the training-data operators share: tables, folds, hashes."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ASCII white space that separates words, as a Java and RE2 class.
-SPACE = r"\x20\x09-\x0D"
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may do without the setting; it then gets a temporary
-    folder, which goes when the process ends.
-    """
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="siftwick-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
+from ..storage import new_path, remove, shared_dir, written
 
+__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "remove", "shared_dir", "tables", "unit_hash", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder; cuts lineage, outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written``."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, True)
+# ASCII white space that separates words, as a Java and RE2 class.
+SPACE = r"\x20\x09-\x0D"
 
 
 def ascii_lower(c: Column) -> Column:

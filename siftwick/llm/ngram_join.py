@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import written
-from .components import components
 
 WORD = re.compile(r"\w+")
 WORDS = 5
