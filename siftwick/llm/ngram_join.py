@@ -56,7 +56,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if new := set(words) - known.keys():
+        if new := set(words).difference(known):
             if len(known) > CACHED_WORDS:
                 known.clear()
                 new = set(words)
