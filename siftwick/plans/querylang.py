@@ -179,8 +179,9 @@ class _Parser:
                 ends[side].append(token.text)
             else:
                 raise self.fail("invalid timestamp range")
-        if not self.take("right") or not side:
+        if self.now.kind != "right" or not side:
             raise self.fail("expected 'TO' and closing ']' in range")
+        self.take("right")
         start = parse_rfc3339("".join(ends[0]))
         if start is None:
             raise self.fail("invalid RFC 3339 range start")
