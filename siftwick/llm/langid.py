@@ -217,7 +217,7 @@ def labeller(model: Crf | None):
         def flush() -> None:
             nonlocal row, table
             words = [w for _, ws in held for w in ws]
-            new = set(words) - row.keys()
+            new = set(words).difference(row)
             if len(row) + len(new) > CACHED_WORDS:
                 row, new = {}, set(words)
             fresh = sorted(new)

@@ -21,7 +21,8 @@ SLOTS = 1 << 21
 CALIBRATION_ROWS = 4_000
 LONGEST_WORD = 40
 CACHED_WORDS = 300_000
-TOP = 3
+TOP = (1, 3, 6, 12)
+FEATURES = 3 + len(TOP)
 
 
 def events(word: str, order: int = ORDER) -> list[str]:
@@ -160,14 +161,14 @@ class Scorer:
         return np.stack([np.add.reduceat(llr, begin), size], axis=1)
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """By text: log ratio over all events, the largest of a word, the mean of the three largest, by events too."""
-        rows = np.zeros((len(texts), 4))
+        """By text: log ratio over all events, the largest of a word by its events, means of the largest TOP of words, and how many words there are."""
+        rows = np.zeros((len(texts), FEATURES))
         for i, text in enumerate(texts):
             text = text.as_py()
             words = WORD.findall(text.lower()) if text else []
             if not words:
                 continue
-            if new := set(words) - self.row.keys():
+            if new := set(words).difference(self.row):
                 if len(self.row) + len(new) > CACHED_WORDS:
                     self.row, new, self.table = {}, set(words), np.empty((0, 2))
                 fresh = sorted(new)
@@ -175,8 +176,9 @@ class Scorer:
             at = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
             got = self.table[at]
             llr, each = got[:, 0], got[:, 0] / got[:, 1]
-            top = llr if len(llr) <= TOP else np.partition(llr, len(llr) - TOP)[-TOP:]
-            rows[i] = llr.sum() / got[:, 1].sum(), each.max(), top.max(), top.sum() / TOP
+            n = len(llr)
+            top = np.sort(llr if n <= TOP[-1] else np.partition(llr, n - TOP[-1])[-TOP[-1] :])[::-1]
+            rows[i] = llr.sum() / got[:, 1].sum(), each.max(), *[max(0.0, top[:k].sum() / k) for k in TOP], np.log1p(n)
         return rows
 
     def _grow(self, fresh: list[str]) -> None:
@@ -223,10 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     shown = shown.orderBy("o").limit(CALIBRATION_ROWS)
     # only features come to the driver, a bounded number of rows
     got = shown.select(evidence(model, F.col("text")).alias("x"), "y").toArrow()
-    x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, 4)
+    x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
-        x, y = np.array([[0.0] * 4, [1.0, 1.0, 5.0, 5.0]]), np.array([0.0, 1.0])
+        x, y = np.array([[0.0] * FEATURES, [*[5.0] * (FEATURES - 1), 0.0]]), np.array([0.0, 1.0])
     model.shift, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = logistic((x - model.shift) / model.scale, y)
     return model
@@ -262,7 +264,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
         out = docs.select("doc_id", score.alias("score"))
     else:
         z = F.lit(float(model.weights[-1]))
-        for i in range(4):
+        for i in range(FEATURES):
             z += (F.col("x")[i] - float(model.shift[i])) / float(model.scale[i]) * float(model.weights[i])
         out = docs.select("doc_id", evidence(model, F.col("text")).alias("x")).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return out.select(
