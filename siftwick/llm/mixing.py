@@ -53,7 +53,7 @@ class Classifier:
     def raw(self, text: str) -> tuple[list[float], int]:
         words = text.lower().split()
         kinds = set(words)
-        held = [self.row[w] for w in kinds & self.row.keys()]
+        held = [self.row[w] for w in kinds if w in self.row]
         k = len(self.domains)
         got = self.odds[held] if held else np.zeros((1, k))
         return [*shape(text, words, kinds), *got.mean(0), *got.max(0)], len(words)
