@@ -10,7 +10,7 @@ from siftwick.engine import Engine
 from siftwick.operators import detect, graph, postings, rank
 from siftwick.operators.search import page_count, plan_trace, prepare, search, timeline
 from siftwick.schema import EVENT
-from siftwick.sources import sinks
+from siftwick.sources import sinks, synthetic
 from siftwick.sources.ingest import IngestError, infer_format, ingest, read_csv, read_jsonl
 from siftwick.sources.synthetic import BASE, generate_events, generate_rows
 from siftwick.storage import numbered
@@ -45,6 +45,18 @@ def test_generator_counts_and_determinism():
         generate_rows(1, scenario="x")
 
 
+def test_tasks_make_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(synthetic, "DRIVER_ROWS", 0)
+    monkeypatch.setattr(synthetic, "ROWS_PER_TASK", 130)
+    for count, scenario in ((1_000, "mixed"), (300, "mixed"), (400, "baseline")):
+        got = synthetic.generate_events(spark, count, 9, scenario)
+        assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(generate_rows(count, 9, scenario), EVENT).collect()))
+
+
+def test_published_match_counts(spark):
+    assert search(generate_events(spark, 100_000), "outcome:failure AND user:ana", ordered=False).count() == 2_149
+
+
 @pytest.mark.parametrize("query", ["outcome:failure AND user:ana", "host:ws-* OR severity:critical", "NOT outcome:success AND type:authentication", 'message:"invalid password"'])
 def test_modes_agree_on_plain_queries(mixed, query):
     table = prepare(mixed)
