@@ -154,6 +154,11 @@ def _path(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return spark.createDataFrame([(got.found, got.mode, ",".join(got.nodes) if mode == "hops" else "", got.cost)], "found boolean, mode string, nodes string, cost long")
 
 
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _graph(spark, sf_dir)
+    return graph.layout(nodes, nodes.count()).select("label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 def outcome_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.events(spark, sf_dir).groupBy("outcome", "severity").agg(F.count("*").alias("n"))
 
@@ -184,7 +189,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_detections, rule=rule) for name, rule in RULES.items()}
     out |= {"graph_hops_from": partial(_distances, weighted=False), "graph_risk_cost_from": partial(_distances, weighted=True)}
     out |= {"graph_path_hops": partial(_path, mode="hops"), "graph_path_risk": partial(_path, mode="risk")}
-    for f in (search_limit, search_page, plan_trace_counts, postings_lookup, token_frequency, tokenize_documents, duplicate_ids, fingerprint_ids, graph_nodes, graph_edges, graph_stats, graph_components, outcome_severity_counts, severity_score_dist, timeline_mod32, synthetic_events, synthetic_detections):
+    for f in (search_limit, search_page, plan_trace_counts, postings_lookup, token_frequency, tokenize_documents, duplicate_ids, fingerprint_ids, graph_nodes, graph_edges, graph_stats, graph_components, graph_layout, outcome_severity_counts, severity_score_dist, timeline_mod32, synthetic_events, synthetic_detections):
         out[f.__name__] = f
     return out
 
@@ -302,6 +307,8 @@ UNION ALL SELECT 5, 'INTERSECT', f + o, a, f + o FROM c"""
     out["graph_components"] = f"{COMP_SQL} SELECT component, count(*) AS n FROM comp GROUP BY 1"
     out["graph_hops_from"] = f"{HOPS_SQL} SELECT label, cost FROM dist JOIN nodes USING (ord)"
     out["graph_risk_cost_from"] = f"{RISK_SQL} SELECT label, cost FROM dist JOIN nodes USING (ord)"
+    out["graph_layout"] = f"""WITH {GRAPH_SQL}, n AS (SELECT label, ord, 2 * pi() * ord / (SELECT count(*) FROM nodes) - pi() / 2 AS a, 36 + 6 * (ord % 3) AS r FROM nodes)
+SELECT label, round(50 + cos(a) * r, 6) AS x, round(50 + sin(a) * r, 6) AS y FROM n"""
     out["outcome_severity_counts"] = f"WITH {EV} SELECT outcome, severity, count(*) AS n FROM ev GROUP BY ALL"
     out["severity_score_dist"] = f"WITH {EV} SELECT score, count(*) AS n FROM ev GROUP BY ALL"
     out["timeline_mod32"] = f"""WITH {EV}, m AS (SELECT (row_number() OVER (ORDER BY timestamp, id) - 1) % 32 AS bucket FROM ev WHERE outcome = 'failure'),

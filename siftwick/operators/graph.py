@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 
@@ -70,6 +71,18 @@ def node_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(F.col("ord").alias("id"), kind.alias("kind"), value.alias("label"), F.col("comp").alias("component"))
 
 
+def layout(nodes: DataFrame, n: int) -> DataFrame:
+    """(ord, label, x, y): the n nodes on three circles around (50, 50), by number."""
+    angle = 2 * math.pi * F.col("ord") / max(1, n) - math.pi / 2
+    radius = 36 + 6 * (F.col("ord") % 3)
+    return nodes.select("ord", "label", (50 + F.cos(angle) * radius).alias("x"), (50 + F.sin(angle) * radius).alias("y"))
+
+
+def route_edges(route: list[str]) -> set[tuple[str, str]]:
+    """The edges of a path, whichever way round, for marking them."""
+    return {(min(a, b), max(a, b)) for a, b in zip(route, route[1:], strict=False)}
+
+
 def edge_cost(risk: Column) -> Column:
     return F.greatest(F.lit(1), F.lit(11) - risk)
 

@@ -189,6 +189,27 @@ def test_graph_of_few_events(spark):
     assert {r["id"]: r["component"] for r in graph.node_table(nodes, edges).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from siftwick import cli
+
+    def run(*args):
+        cli.parser().parse_args(args).run(cli.parser().parse_args(args), spark)
+        return capsys.readouterr().out
+
+    out = str(tmp_path / "e")
+    assert "generated=900 seed=42" in run("generate", "-c", "900", "-o", out)
+    assert "indexed=900 invalid=0 duplicates=0" in run("build-index", "-i", out, "-o", str(tmp_path / "ix"))
+    got = json.loads(run("query", "-i", str(tmp_path / "ix"), "-l", "2", "user:ana"))
+    assert len(got["matches"]) == 2 and got["plan"]["candidates"] > 2
+    assert len(json.loads(run("detect", "-i", str(tmp_path / "ix")))) == 4
+    assert json.loads(run("path", "-i", str(tmp_path / "ix"), "user:ana", "host:dc-01"))["found"]
+    report = json.loads(run("benchmark", "--size", "1000", "--iterations", "1"))
+    assert report["matches"] == 26 and report["indexed_mean_ns"] > 0
+    assert graph.route_edges(["b", "a", "c"]) == {("a", "b"), ("a", "c")}
+
+
 def test_top_keeps_the_largest_of_ties(spark):
     ev = made(spark, *[event(str(i), i, user=u) for i, u in enumerate(["a", "b", "c", "c", None])])
     assert [tuple(r) for r in rank.top_entities(ev, "USER", 2).collect()] == [("c", 2), ("b", 1)]
