@@ -82,10 +82,16 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def literal_rows(spark, rows: list[tuple[str, str]], names: tuple[str, str]) -> DataFrame:
+    """A small table of literals, without data from Python's side."""
+    cells = [F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows]
+    kind = f"array<struct<{names[0]}:string,{names[1]}:string>>"
+    return spark.range(1).select(F.inline(F.array(*cells) if cells else F.array().cast(kind)))
+
+
 def known_digests(spark, known: dict[str, list[str]] = KNOWN) -> DataFrame:
     """(digest, license_id), one row for each known text: the size of the table given."""
-    rows = [(k, t) for k, ts in known.items() for t in ts]
-    texts = spark.createDataFrame(rows, "license_id string, t string")
+    texts = literal_rows(spark, [(k, t) for k, ts in known.items() for t in ts], ("license_id", "t"))
     return texts.select(digest(F.col("t")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -110,7 +116,7 @@ def license_scan(df: DataFrame, known: dict[str, list[str]] = KNOWN, id_col: str
     hint = r"(?i)licen[cs]|copyright|rights reserved|permission|creative commons"
     lines = F.when(F.col("__t").rlike(hint), F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(hint))).otherwise(F.array().cast("array<string>"))
     notices = F.filter(F.transform(lines, lambda x: ids[digest(x)]), lambda x: x.isNotNull())
-    table = spark.createDataFrame(list(rows.items()), "digest string, license_id string")
+    table = literal_rows(spark, list(rows.items()), ("digest", "license_id"))
     out = texts.withColumn("__n", notices).join(F.broadcast(table), "digest", "left")
     return out.select(
         "doc_id",
