@@ -19,6 +19,8 @@ ORDER = 6
 DISCOUNT = 0.75
 SLOTS = 1 << 21
 CALIBRATION_ROWS = 4_000
+#: Labels (an id and a number each) that a broadcast may hold.
+LABELS_SENT = 2_000_000
 LONGEST_WORD = 40
 CACHED_WORDS = 300_000
 TOP = (1, 3, 6, 12)
@@ -205,26 +207,32 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0)
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents outside the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(id_fold(F.col("doc_id"), 5) != 0)
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out fold, an id once."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.where(id_fold(F.col("doc_id"), 5) != 0)
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Texts with their labels: up to LABELS_SENT labels go to the texts, above that both are shuffled."""
+    return docs.select("doc_id", "text").join(F.broadcast(known) if n <= LABELS_SENT else known, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Counts cover every labelled row but the calibration fold; the three score weights are fitted on a bounded sample of that fold."""
-    rows = training_rows(docs, labels)
+    """Counts cover every labelled row but the calibration fold; the score's few weights are fitted on a bounded sample of that fold."""
     fold = id_fold(F.col("doc_id"), 5)
-    grams = written(gram_counts(rows.where(fold != 4)), "grams")
+    known = written(known_labels(labels), "labels")
+    shown = known.where(fold == 4)
+    n, held = known.count(), shown.count()
+    grams = written(gram_counts(labelled_texts(docs, known.where(fold != 4), n)), "grams")
     if grams.agg(F.sum("n0"), F.sum("n1")).first()[0] is None:
         return None
     model = slots(log_ratios(grams))
     remove(grams)
-    shown = rows.where(fold == 4).select("text", F.col("toxic").cast("double").alias("y"), unit_hash(F.col("doc_id")).alias("o"))
-    shown = shown.orderBy("o").limit(CALIBRATION_ROWS)
+    shown = shown.where(unit_hash(F.col("doc_id")) < CALIBRATION_ROWS / max(1, held)).limit(2 * CALIBRATION_ROWS)
+    pairs = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")
     # only features come to the driver, a bounded number of rows
-    got = shown.select(evidence(model, F.col("text")).alias("x"), "y").toArrow()
+    got = pairs.select(evidence(model, F.col("text")).alias("x"), F.col("toxic").cast("double").alias("y")).toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
