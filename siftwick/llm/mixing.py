@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import unit_hash, written
-from .langid import sample
+from .langid import LONGEST_SAMPLE_TEXT
 
 #: Production weights of the domains that the labelled table tells apart.
 TARGETS = {"clean": 0.96, "low_quality": 0.02, "toxic": 0.02}
@@ -104,9 +104,20 @@ def domain_of() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
-    """Learn the domains from a bounded sample of labelled documents."""
-    known = labels.select("doc_id", domain_of().alias("domain")).where("domain IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    return train(sample(docs.select("doc_id", "text").join(known, "doc_id"), "domain", ROWS_PER_DOMAIN))
+    """Learn the domains from a bounded sample of labelled documents.
+
+    The sample is drawn from the labels, so that its ids, a bounded number, go
+    to the texts, and no texts are moved.
+    """
+    known = labels.select("doc_id", domain_of().alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    sizes = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}  # a row per domain
+    wanted = F.lit(False)
+    for d, n in sizes.items():
+        wanted |= (F.col("domain") == d) & (unit_hash(F.col("doc_id"), F.lit("sample")) < F.lit(ROWS_PER_DOMAIN / n))
+    drawn = known.where(wanted).limit(2 * ROWS_PER_DOMAIN * max(1, len(sizes)))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE_TEXT)).join(F.broadcast(drawn), "doc_id")
+    return train([(r["text"], r["domain"]) for r in rows.orderBy("doc_id", "text").limit(4 * ROWS_PER_DOMAIN * max(1, len(sizes))).collect()])
 
 
 def membership(model: Classifier, text: Column) -> Column:
