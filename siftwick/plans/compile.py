@@ -1,4 +1,4 @@
-"""Expression tree -> one null-free Boolean column that Catalyst can push down."""
+"""Expression tree -> one Boolean column for a filter, in a form that reaches the scan."""
 
 from __future__ import annotations
 
@@ -14,10 +14,6 @@ from .querylang import And, Exact, Expr, Not, Or, Prefix, Term, TimeRange
 TEXT_FIELDS = (None, "text", "message")
 
 
-def false_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 class Compiler:
     """Turns terms into predicates over the event columns.
 
@@ -53,16 +49,22 @@ class Compiler:
 
     # terms
 
-    def compile(self, tree: Expr) -> Column:
+    def compile(self, tree: Expr, negated: bool = False) -> Column:
+        """A filter's condition: null counts as false.
+
+        Only below NOT is that said outright, as ``NOT user:x`` keeps events
+        without a user; elsewhere a bare comparison can go to the scan.
+        """
         match tree:
             case And(left, right):
-                return self.compile(left) & self.compile(right)
+                return self.compile(left, negated) & self.compile(right, negated)
             case Or(left, right):
-                return self.compile(left) | self.compile(right)
+                return self.compile(left, negated) | self.compile(right, negated)
             case Not(inner):
-                return ~self.compile(inner)
+                return ~self.compile(inner, True)
             case Term(field, match):
-                return self.term(field, match)
+                leaf = self.term(field, match)
+                return F.coalesce(leaf, F.lit(False)) if negated else leaf
         raise TypeError(tree)
 
     def term(self, field: str | None, match: Exact | Prefix | TimeRange) -> Column:
@@ -75,9 +77,9 @@ class Compiler:
     def time_range(self, r: TimeRange) -> Column:
         ts = F.col(self.ts)
         if self.mode == "scan":
-            return false_if_null((ts >= self.instant(r.start)) & (ts <= self.instant(r.end)))
+            return (ts >= self.instant(r.start)) & (ts <= self.instant(r.end))
         # whole milliseconds on both sides, as a range that a scan can skip by
-        return false_if_null((ts >= self.instant(floor_ms(r.start))) & (ts < self.instant(floor_ms(r.end) + timedelta(milliseconds=1))))
+        return (ts >= self.instant(floor_ms(r.start))) & (ts < self.instant(floor_ms(r.end) + timedelta(milliseconds=1)))
 
     def indexed(self, field: str | None, match: Exact | Prefix) -> Column:
         if isinstance(match, Exact) and field in TEXT_FIELDS:
@@ -92,10 +94,10 @@ class Compiler:
             return F.lit(False)
         column = self.lowered(INDEXED[field])
         if isinstance(match, Exact):
-            return false_if_null(column == match.value)
+            return column == match.value
         if not match.value:
             return F.col(INDEXED[field]).isNotNull()
-        return false_if_null(column.startswith(match.value))
+        return column.startswith(match.value)
 
     def phrase(self, value: str) -> Column:
         words = sorted(set(tokens_of(value)))
@@ -105,19 +107,19 @@ class Compiler:
         whole = F.lit(True)
         for w in words:
             whole &= self.token(w)
-        return whole & false_if_null(message.contains(value))
+        return whole & message.contains(value)
 
     def token(self, value: str) -> Column:
-        return false_if_null(F.array_contains(self.tokens(), value))
+        return F.array_contains(self.tokens(), value)
 
     def token_prefix(self, value: str) -> Column:
-        return false_if_null(F.exists(self.tokens(), lambda t: t.startswith(value)))
+        return F.exists(self.tokens(), lambda t: t.startswith(value))
 
     def scanned(self, field: str | None, match: Exact | Prefix) -> Column:
         value = match.value
         if isinstance(match, Exact):
             spaced = any(ch.isspace() for ch in value)
-            on_message = false_if_null(ascii_lower(F.col("message")).contains(value)) if spaced else self.token(value)
+            on_message = ascii_lower(F.col("message")).contains(value) if spaced else self.token(value)
         else:
             on_message = self.token_prefix(value)
         if field is None or (field == "message" and isinstance(match, Exact)):

@@ -35,20 +35,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder; cuts lineage, outlives executors."""
+    """``df`` as a table in the shared folder; cuts lineage, outlives executors, goes with the application."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by ``written``."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, at = file_system(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
