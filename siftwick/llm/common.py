@@ -7,9 +7,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, remove, shared_dir, written
+from ..storage import new_path, passing, remove, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "remove", "shared_dir", "tables", "unit_hash", "written"]
+__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "passing", "remove", "shared_dir", "tables", "unit_hash", "written"]
 
 # ASCII white space that separates words, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, written
+from .common import ascii_lower, new_path, passing, written
 
 
 def text_digest(text: Column) -> Column:
@@ -77,8 +77,8 @@ def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
     all rows is one row a task there. The only join with a row per document
     carries id and digest, and Spark may split its hot digests.
     """
-    spark = df.sparkSession
-    index = index or DigestIndex(spark)
+    lasting = index is not None
+    index = index or DigestIndex(df.sparkSession)
     ids = digests(df, id_col, text_col)
     groups = ids.groupBy("digest").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "rid")).alias("top"), F.count("*").alias("group_size")
@@ -92,6 +92,8 @@ def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
         none = F.lit(None).cast("long").alias("keep_rid")
         win = fresh.unionByName(written(seen.select("digest", F.col("old_id").alias("keep_id"), none, "group_size"), "seen"))
     index.append(fresh)
+    if not lasting:
+        passing(df.sparkSession, index.path)
     out = ids.hint("merge").join(win.hint("merge"), "digest")
     return out.select(
         "doc_id",

@@ -296,7 +296,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Rows whose language is told with a share of at least ``least``; columns as they are."""
     out = docs.select("*", label(fit(docs), F.col("text")).alias("__lang"))
     return out.where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least)).select(*docs.columns)

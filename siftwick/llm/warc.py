@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, passing, written
 
 #: Records of one archive file; bounds what a task holds while it parses one.
 RECORDS_PER_FILE = 2_000
@@ -298,6 +298,8 @@ def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, version)
     arc_to_warc(spark, arc, warc)
+    passing(spark, arc)
+    passing(spark, warc)
     return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
