@@ -24,6 +24,13 @@ class DetectorConfig:
     lateral_hosts: int = 3
 
 
+# The explanations of the four rules, with places for their numbers.
+EXPLANATIONS = {
+    "brute-force": "{n} failed authentications for one account inside a {seconds} second sliding window.",
+    "password-spray": "One source IP failed against {n} distinct accounts inside a {seconds} second sliding window.",
+    "failure-then-success": "A successful authentication followed {n} recent failures for the same identity.",
+    "lateral-movement": "One identity authenticated successfully on {n} distinct hosts inside the correlation window.",
+}
 COLUMNS = ("id", "kind", "severity", "started_at", "ended_at", "entities", "event_ids", "explanation", "evidence")
 
 
@@ -35,6 +42,11 @@ def _text(n: Column) -> Column:
     return n.cast("string")
 
 
+def _explained(kind: str, n: Column, seconds: int = 0) -> Column:
+    before, after = EXPLANATIONS[kind].replace("{seconds}", str(seconds)).split("{n}")
+    return F.concat(F.lit(before), n, F.lit(after))
+
+
 def _shaped(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns[c].alias(c) for c in COLUMNS])
 
@@ -64,7 +76,7 @@ def brute_force(events: DataFrame, config: DetectorConfig | None = None) -> Data
         ended_at=F.col("timestamp"),
         entities=F.array(F.concat(F.lit("user:"), "user")),
         event_ids=F.col("ids"),
-        explanation=F.concat(_text(n), F.lit(f" failed authentications for one account inside a {config.window_seconds} second sliding window.")),
+        explanation=_explained("brute-force", _text(n), config.window_seconds),
         evidence=F.create_map(F.lit("failures"), _text(n), F.lit("window_seconds"), F.lit(str(config.window_seconds))),
     )
 
@@ -98,7 +110,7 @@ def password_spray(events: DataFrame, config: DetectorConfig | None = None) -> D
         ended_at=F.col("timestamp"),
         entities=F.concat(F.array(F.concat(F.lit("ip:"), "source_ip")), F.transform("kinds", lambda u: F.concat(F.lit("user:"), u))),
         event_ids=F.transform("win", lambda x: x["id"]),
-        explanation=F.concat(F.lit("One source IP failed against "), n, F.lit(f" distinct accounts inside a {config.window_seconds} second sliding window.")),
+        explanation=_explained("password-spray", n, config.window_seconds),
         evidence=F.create_map(F.lit("distinct_accounts"), n, F.lit("window_seconds"), F.lit(str(config.window_seconds))),
     )
 
@@ -119,7 +131,7 @@ def lateral_movement(events: DataFrame, config: DetectorConfig | None = None) ->
         ended_at=F.col("timestamp"),
         entities=F.concat(F.array(F.concat(F.lit("user:"), "user")), F.transform("kinds", lambda h: F.concat(F.lit("host:"), h))),
         event_ids=F.transform("win", lambda x: x["id"]),
-        explanation=F.concat(F.lit("One identity authenticated successfully on "), n, F.lit(" distinct hosts inside the correlation window.")),
+        explanation=_explained("lateral-movement", n),
         evidence=F.create_map(F.lit("distinct_hosts"), n),
     )
 
@@ -176,7 +188,7 @@ def failure_then_success(events: DataFrame, config: DetectorConfig | None = None
         ended_at=F.col("h.ended"),
         entities=F.array(F.concat(F.lit("user:"), "user"), F.concat(F.lit("ip:"), "source_ip")),
         event_ids=F.col("h.ids"),
-        explanation=F.concat(F.lit("A successful authentication followed "), n, F.lit(" recent failures for the same identity.")),
+        explanation=_explained("failure-then-success", n),
         evidence=F.create_map(F.lit("preceding_failures"), n),
     )
 

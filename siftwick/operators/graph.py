@@ -18,6 +18,16 @@ KINDS = (("user", "user"), ("host", "host"), ("ip", "source_ip"))
 DRIVER_EDGES = 20_000
 
 
+# What a path's explanation says.
+NO_SOURCE = "source entity does not exist"
+NO_TARGET = "target entity does not exist"
+NO_PATH = "entities are in disconnected components"
+FOUND = {
+    "hops": "BFS minimizes the number of entity-to-entity hops; O(V + E).",
+    "risk": "Dijkstra uses an indexed min-heap and inverse severity cost (11 - risk); O((V + E) log V).",
+}
+
+
 @dataclass
 class PathResult:
     found: bool
@@ -129,22 +139,18 @@ def path(nodes: DataFrame, edges: DataFrame, source: str, target: str, mode: str
         raise ValueError(f"unknown mode {mode}")
     known = _numbers(nodes, [source, target])
     if source not in known:
-        return PathResult(False, mode, explanation="source entity does not exist")
+        return PathResult(False, mode, explanation=NO_SOURCE)
     if target not in known:
-        return PathResult(False, mode, explanation="target entity does not exist")
+        return PathResult(False, mode, explanation=NO_TARGET)
     a, z = known[source], known[target]
     small = edges.limit(driver_edges + 1).count() <= driver_edges
     search = _driver_path if small else _spark_path
     got = search(edges, a, z, mode)
     if got is None:
-        return PathResult(False, mode, explanation="entities are in disconnected components")
+        return PathResult(False, mode, explanation=NO_PATH)
     route, cost, visited = got
     names = {r["ord"]: r["label"] for r in nodes.where(F.col("ord").isin(route)).collect()}  # a row per step
-    why = {
-        "hops": "BFS minimizes the number of entity-to-entity hops; O(V + E).",
-        "risk": "Dijkstra uses an indexed min-heap and inverse severity cost (11 - risk); O((V + E) log V).",
-    }[mode]
-    return PathResult(True, mode, [names[n] for n in route], cost, visited, why)
+    return PathResult(True, mode, [names[n] for n in route], cost, visited, FOUND[mode])
 
 
 def _driver_path(edges: DataFrame, a: int, z: int, mode: str) -> tuple[list[int], int, int] | None:

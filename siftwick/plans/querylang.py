@@ -10,6 +10,20 @@ from ..functions.text import lower_text, parse_rfc3339
 SINGLE = {":": "colon", "(": "open", ")": "close", "[": "left", "]": "right"}
 KEYWORDS = {"AND": "and", "OR": "or", "NOT": "not", "TO": "to"}
 
+# The parser's messages.
+UNTERMINATED = "unterminated quoted value"
+NO_CLOSE = "expected ')'"
+NO_TERM = "expected a search term"
+NO_VALUE = "expected a field value"
+RANGE_FIELD = "ranges are supported only for timestamp"
+BAD_RANGE = "invalid timestamp range"
+OPEN_RANGE = "expected 'TO' and closing ']' in range"
+BAD_START = "invalid RFC 3339 range start"
+BAD_END = "invalid RFC 3339 range end"
+REVERSED = "range start is after range end"
+EMPTY = "query cannot be empty"
+TRAILING = "unexpected token"
+
 
 class QueryParseError(ValueError):
     """position counts bytes of the query's UTF-8 form."""
@@ -90,7 +104,7 @@ def lex(query: str) -> list[Token]:
                 value.append(query[i])
                 i += 1
             if i >= len(query):
-                raise QueryParseError(starts[begin], "unterminated quoted value")
+                raise QueryParseError(starts[begin], UNTERMINATED)
             i += 1
             out.append(Token("quoted", "".join(value), starts[begin]))
         else:
@@ -145,14 +159,14 @@ class _Parser:
         if self.take("open"):
             inner = self.disjunction()
             if not self.take("close"):
-                raise self.fail("expected ')'")
+                raise self.fail(NO_CLOSE)
             return inner
         return self.term()
 
     def term(self) -> Expr:
         first = self.take("word", "quoted")
         if not first:
-            raise self.fail("expected a search term")
+            raise self.fail(NO_TERM)
         if not self.take("colon"):
             return Term(None, classify(first.text))
         field = lower_text(first.text)
@@ -160,12 +174,12 @@ class _Parser:
             return self.time_range(field)
         value = self.take("word", "quoted")
         if not value:
-            raise self.fail("expected a field value")
+            raise self.fail(NO_VALUE)
         return Term(field, classify(value.text))
 
     def time_range(self, field: str) -> Expr:
         if field not in ("timestamp", "time"):
-            raise self.fail("ranges are supported only for timestamp")
+            raise self.fail(RANGE_FIELD)
         ends: list[list[str]] = [[], []]
         side = 0
         while True:
@@ -178,26 +192,26 @@ class _Parser:
             elif token.kind in ("word", "quoted", "colon"):
                 ends[side].append(token.text)
             else:
-                raise self.fail("invalid timestamp range")
+                raise self.fail(BAD_RANGE)
         if self.now.kind != "right" or not side:
-            raise self.fail("expected 'TO' and closing ']' in range")
+            raise self.fail(OPEN_RANGE)
         self.take("right")
         start = parse_rfc3339("".join(ends[0]))
         if start is None:
-            raise self.fail("invalid RFC 3339 range start")
+            raise self.fail(BAD_START)
         end = parse_rfc3339("".join(ends[1]))
         if end is None:
-            raise self.fail("invalid RFC 3339 range end")
+            raise self.fail(BAD_END)
         if start > end:
-            raise self.fail("range start is after range end")
+            raise self.fail(REVERSED)
         return Term("timestamp", TimeRange(start, end))
 
 
 def parse_query(query: str) -> Expr:
     if not query.strip():
-        raise QueryParseError(0, "query cannot be empty")
+        raise QueryParseError(0, EMPTY)
     parser = _Parser(lex(query))
     tree = parser.disjunction()
     if parser.now.kind != "end":
-        raise parser.fail("unexpected token")
+        raise parser.fail(TRAILING)
     return tree
