@@ -7,24 +7,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
 from ..storage import new_path, passing, remove, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "passing", "remove", "shared_dir", "tables", "unit_hash", "written"]
+__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "tables", "unit_hash", "written"]
 
 # ASCII white space that separates words, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only.
-
-    ``lower`` does the same on all-ASCII texts and is far faster than
-    ``translate``, so only the others take the slow way.
-    """
-    slow = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(slow)
-
-
 def id_fold(c: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
@@ -35,6 +26,16 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+BATCH_BYTES = ("67108864b", "8388608b")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB for functions over whole texts, unless the session says otherwise than Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == BATCH_BYTES[0]:
+        spark.conf.set(name, BATCH_BYTES[1])
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers started from now on find this package as the driver does
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

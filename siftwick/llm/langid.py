@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, unit_hash
+from .common import id_fold, small_batches, unit_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -23,8 +23,9 @@ LONGEST_SAMPLE_TEXT = 20_000
 MAX_FEATURES = 60_000
 MAX_CHAINS = 3_000
 CHAIN_WORDS = 48
-CACHED_WORDS = 200_000
-BLOCK_WORDS = 200_000
+CACHED_WORDS = 120_000
+BLOCK_WORDS = 80_000
+FRESH_WORDS = 10_000
 
 
 def features(word: str) -> list[str]:
@@ -35,7 +36,7 @@ def features(word: str) -> list[str]:
     return ["=" + w, "p" + w[:1], "p" + w[:2], "s" + w[-1:], "s" + w[-2:], "s" + w[-4:], *grams]
 
 
-def scan(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray, width: int = 256) -> np.ndarray:
+def scan(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray, width: int = 160) -> np.ndarray:
     """Word posteriors of many chains laid end to end, by forward-backward.
 
     emit: (n, L) positive; starts: marks each chain's first word. The words are
@@ -94,13 +95,16 @@ class Crf:
     first: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        """A row for each word; features are looked up for so many words at a time."""
+        parts = [self._emissions(words[i : i + FRESH_WORDS]) for i in range(0, len(words), FRESH_WORDS)]
+        return np.concatenate(parts) if parts else np.ones((0, len(self.languages)))
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
         get, none = self.index.get, len(self.index)
         flat, at = [], []
         for w in words:
             at.append(len(flat))
             flat += [get(f, none) for f in features(w)]
-        if not flat:
-            return np.ones((0, len(self.languages)))
         x = np.add.reduceat(self.weights[flat], at, axis=0)
         return np.exp(np.clip(x - x.max(1, keepdims=True), -30, 0))
 
@@ -267,6 +271,7 @@ def label(model: Crf | None, text: Column) -> Column:
                 names=["lang_pred", "score", "shares"],
             )
 
+    small_batches(SparkSession.active())
     return F.arrow_udf(run, LABEL)(text)
 
 

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unit_hash, written
+from .common import small_batches, unit_hash, written
 from .langid import LONGEST_SAMPLE_TEXT
 
 #: Production weights of the domains that the labelled table tells apart.
@@ -131,6 +131,7 @@ def membership(model: Classifier, text: Column) -> Column:
                 p, n = np.zeros((0, len(model.domains))), []
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["tokens", "p"])
 
+    small_batches(SparkSession.active())
     return F.arrow_udf(run, "tokens long, p array<double>")(text)
 
 

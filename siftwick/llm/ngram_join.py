@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import written
+from .common import small_batches, written
 
 WORD = re.compile(r"\w+")
 WORDS = 5
@@ -27,7 +27,7 @@ TOLERANCE = 1e-6
 STRIDE = 16
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 _rng = np.random.default_rng(20240229)
 _mult = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,8 +72,8 @@ class Shingler:
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(low, (_mult[:, None] * shingles[None, at : at + 2048]).min(1), out=low)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(low, (_mult[:, None] * shingles[None, at : at + 1024]).min(1), out=low)
     return low
 
 
@@ -104,6 +104,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["rid", "doc_id", "n", "digest", "sig", "bands"],
             )
 
+    small_batches(df.sparkSession)
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SIGNED)
 
@@ -300,8 +301,8 @@ def verified(docs: DataFrame, reps: DataFrame, found: DataFrame, id_col: str, te
     """(cid, root, links) by exact Jaccard similarity of the surviving pairs.
 
     Groups that survivors link are gathered with their shingle sets, in blocks
-    of BLOCK_SHINGLES at most (or one text), compared two and two by tasks of
-    their own. links counts the rows of all texts that a text is linked with.
+    of about BLOCK_SHINGLES at most (or one text), compared two and two by
+    tasks of their own. links counts the rows of all texts that a text is linked with.
     """
     groups = components(found, "cid", "root")
     member = reps.select("cid", "class_doc", "digest", "m", "n").join(groups.withColumnRenamed("id", "cid"), "cid")

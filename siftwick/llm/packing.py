@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 END_ID = 1
 SPECIAL = "<|endoftext|>"
 SMALL = 16
@@ -18,7 +20,7 @@ SMALL = 16
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class int"
 )
-_coders: dict[tuple[str, str], tuple] = {}
+_coders: dict[tuple[str, str], list] = {}
 
 
 def default_files() -> tuple[str, str]:
@@ -36,9 +38,6 @@ def coder(json_path: str, ranks_path: str | None):
     """
     key = (json_path, ranks_path or "")
     if key not in _coders:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(json_path)
         fast = None
         if ranks_path:
             import public_tokenizers
@@ -48,12 +47,17 @@ def coder(json_path: str, ranks_path: str | None):
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         _coders.clear()  # one vocabulary at a time
-        _coders[key] = (slow, fast)
-    slow, fast = _coders[key]
+        _coders[key] = [None, fast]
+    held = _coders[key]
+    fast = held[1]
 
     def encode(text: str) -> np.ndarray:
         if fast is None or SPECIAL in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if held[0] is None:  # seldom needed, and it takes memory
+                from tokenizers import Tokenizer
+
+                held[0] = Tokenizer.from_file(json_path)
+            return np.array(held[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(fast.encode_ordinary(text), dtype="<u4")
 
     return encode
@@ -178,4 +182,5 @@ def pack(df: DataFrame, capacity: int = 2048, json_path: str | None = None, rank
         if rows:
             yield batch(rows)
 
+    small_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, PIECES)

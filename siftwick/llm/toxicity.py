@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, remove, unit_hash, written
+from .common import id_fold, remove, small_batches, unit_hash, written
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 6
@@ -22,7 +22,7 @@ CALIBRATION_ROWS = 4_000
 #: Labels (an id and a number each) that a broadcast may hold.
 LABELS_SENT = 2_000_000
 LONGEST_WORD = 40
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 TOP = (1, 3, 6, 12)
 FEATURES = 3 + len(TOP)
 
@@ -60,6 +60,7 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "t
                     yield out()
         yield out()
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).mapInArrow(run, "g string, n0 long, n1 long")
     return rows.groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -244,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def evidence(model: Model, text: Column) -> Column:
     """The features of a text as an array, by an Arrow function."""
-    shared = text_context().broadcast(model)
+    spark = SparkSession.active()
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
@@ -254,12 +257,6 @@ def evidence(model: Model, text: Column) -> Column:
     return F.arrow_udf(run, "array<double>")(text)
 
 
-def text_context():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().sparkContext
-
-
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per input row: ``score`` in 0 to 1 and ``predicted``, 1 from 0.5 up.
 
