@@ -27,6 +27,8 @@ TOLERANCE = 1e-6
 STRIDE = 16
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
+#: Smaller groups are cut too, in up to so many blocks, so that tasks share them.
+SPREAD_SHINGLES, SPREAD_BLOCKS = 20_000, 16
 CACHED_WORDS = 150_000
 
 _rng = np.random.default_rng(20240229)
@@ -311,7 +313,8 @@ def verified(docs: DataFrame, reps: DataFrame, found: DataFrame, id_col: str, te
     partners = found.where(F.size("others") > 0).groupBy("cid").agg(F.flatten(F.collect_list("others")).alias("others"))
     sets = shingle_sets(docs, member, id_col, text_col).groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
     full = member.join(partners, "cid", "left").join(sizes, "comp").join(sets, "digest")
-    blocks = F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int")
+    spread = F.least(F.ceil(F.col("all") / SPREAD_SHINGLES), F.lit(SPREAD_BLOCKS))
+    blocks = F.greatest(spread, F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int")
     full = full.withColumns({"nb": blocks, "b": block}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     full = full.select("comp", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "cid", "b", "m", "others", "shingles")
