@@ -67,7 +67,8 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         room = F.transform("p", lambda x: x["n"] + lookup(free, x["shard"]))
         reach = F.aggregate(room, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("k")), lambda a, x: F.when(a["sum"] >= F.col("m"), a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["k"] + 1).alias("k"))))
         aims = F.transform(F.slice("p", F.lit(1), reach["k"]), lambda x: x["shard"])
-        places = places.select("hub", "m", aims.alias("aims"))
+        # written, so that both sides of the join are plain shuffles, of which a hot hub's can be split
+        places = written(places.select("hub", "m", aims.alias("aims")), "places")
         open_to = F.filter("aims", lambda s: lookup(free, s) > 0)
         pick = F.get(open_to, F.pmod(F.xxhash64("rid", F.lit(r)), F.greatest(F.size(open_to), F.lit(1)).cast("long")).cast("int"))
         want = state.join(places, "hub", "left").withColumn("to", F.when(F.col("aims").isNotNull() & ~F.array_contains("aims", F.col("shard")), pick))
@@ -81,6 +82,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         moved = want.withColumn("shard", F.when(F.col("to").isNotNull() & (luck < grant), F.col("to")).otherwise(F.col("shard")))
         old, state = state, written(moved.select("rid", "hub", "shard"), "labels")
         remove(old)
+        remove(places)
     return state
 
 
@@ -107,7 +109,7 @@ def shard_rows(df: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_col: st
     )
     n = base.count()
     quota = capacities(n, shards)
-    hubs = base.groupBy("hub").count().where("count > 1").select("hub")
+    hubs = written(base.groupBy("hub").count().where("count > 1").select("hub"), "hubs")
     linked = base.select("rid", "hub").join(hubs, "hub", "left_semi")
     state = propagate(linked.select("rid", "hub"), quota, rounds)
     load = loads(state, shards)
