@@ -17,6 +17,8 @@ from .common import new_path, passing, written
 #: Records of one archive file; bounds what a task holds while it parses one.
 RECORDS_PER_FILE = 2_000
 LEAST_REVISIT = 100
+#: Marks (two numbers each) that a broadcast may hold.
+MARKS_SENT = 1_000_000
 # Header line formats of the two ARC versions, and a WARC profile.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -96,7 +98,8 @@ def binary_rows(rows: list[bytes]) -> pa.RecordBatch:
 def write_text(values: DataFrame, path: str, line_end: str) -> None:
     """Spark's text writer puts the bytes of each row and a line end into gzip files, a fixed number of rows a file."""
     out = values.select(F.col("value").cast("string").alias("value")).write.option("lineSep", line_end)
-    out.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # most of the time would go into the best compression otherwise
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
@@ -212,11 +215,15 @@ def arc_to_warc(spark, arc_path: str, warc_path: str, least: int = LEAST_REVISIT
     """Convert every ARC file below a path.
 
     A first pass over the archives finds equal payloads; the second writes.
-    Between them only digests are shuffled, and one row per file, its content
-    still compressed, meets the marks of that file.
+    Between them digests are shuffled, and one row per file meets the marks of
+    that file: up to MARKS_SENT marks go to the files, above that the files'
+    contents, still compressed, are shuffled.
     """
     files = archives(spark, arc_path)
-    marks = revisits(written(arc_digests(files), "arc-digests"))
+    marks = written(revisits(written(arc_digests(files), "arc-digests")), "marks")
+    n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    if n <= MARKS_SENT:
+        marks = F.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
