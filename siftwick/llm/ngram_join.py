@@ -390,10 +390,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = written(candidates(reps), "candidates")
     links = written(verified(docs, reps, found, id_col, text_col), "links")
     comp = components(links, "cid", "root").withColumnRenamed("id", "cid")
-    named = comp.join(reps.select("cid", "class_doc"), "cid")
-    low = named.groupBy("comp").agg(F.min("class_doc").alias("low"))
+    # only linked texts meet by component, so that the many others do not meet in one task as nulls
+    named = written(comp.join(reps.select("cid", "class_doc"), "cid"), "named")
+    low = written(named.groupBy("comp").agg(F.min("class_doc").alias("low")), "low")
+    lows = named.hint("merge").join(low.hint("merge"), "comp").select("cid", "low")
     total = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    sets = reps.select("digest", "cid", "class_doc", "m").join(comp, "cid", "left").join(low, "comp", "left").join(total, "cid", "left")
+    sets = reps.select("digest", "cid", "class_doc", "m").join(lows, "cid", "left").join(total, "cid", "left")
     out = signed.select("doc_id", "digest").hint("merge").join(sets.select("digest", "class_doc", "m", "low", "links").hint("merge"), "digest")
     return out.select(
         "doc_id",
