@@ -12,6 +12,8 @@ from ..plans.compile import Compiler
 from ..plans.querylang import And, Exact, Expr, Not, Or, Prefix, Term, TimeRange, parse_query
 from ..storage import numbered
 
+LOWERED = ("id", "source", "event_type", "outcome", "severity", "user", "host", "source_ip", "message")
+HELPERS = {*(f"{c}_lc" for c in LOWERED), "tokens", "severity_score"}
 PAGE_SIZE = 12
 TIMELINE_BUCKETS = 32
 
@@ -24,7 +26,7 @@ def prepare(events: DataFrame, sequence: bool = False) -> DataFrame:
     adds ``event_seq``, each event's place in the order by (timestamp, id).
     """
     out = events
-    for c in ("id", "source", "event_type", "outcome", "severity", "user", "host", "source_ip", "message"):
+    for c in LOWERED:
         out = out.withColumn(f"{c}_lc", ascii_lower(F.col(c)))
     out = out.withColumns({"tokens": tokenize(F.col("message")), "severity_score": severity_score(F.col("severity"))})
     return numbered(out, ["timestamp", "id"], "event_seq") if sequence else out
@@ -40,8 +42,12 @@ def predicate(events: DataFrame, query: str, mode: str = "indexed", aliases: boo
 
 
 def search(events: DataFrame, query: str, limit: int | None = None, mode: str = "indexed", aliases: bool = False, ordered: bool = True) -> DataFrame:
-    """Matching events by (timestamp, id); a limit becomes a top-k, not a sort."""
-    out = events.where(predicate(events, query, mode, aliases))
+    """Matching events by (timestamp, id); a limit becomes a top-k, not a sort.
+
+    Of a prepared table the helper columns are left out, so that a scan reads
+    only those that the predicate needs.
+    """
+    out = events.where(predicate(events, query, mode, aliases)).select(*[c for c in events.columns if c not in HELPERS])
     if ordered or limit is not None:
         out = out.orderBy("timestamp", "id")
     return out if limit is None else out.limit(limit)
