@@ -3,7 +3,9 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 
-from siftwick.llm.sharding import capacities, shard_rows
+import pytest
+
+from siftwick.llm.sharding import capacities, settle, shard_rows
 
 
 def laws(rows, shards):
@@ -39,6 +41,34 @@ def test_groups_stay_together(spark):
     assert len(by["hot"]) <= 8
 
 
+@pytest.mark.parametrize("size, share", [(2, 1.0), (3, 0.8)])
+def test_copy_heavy_groups_are_whole(spark, size, share):
+    n = int(4000 * share) // size * size
+    rows = [(i, f"t{i // size}" if i < n else f"single{i}") for i in range(4000)]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    laws(got, 40)
+    by = defaultdict(set)
+    for r in got:
+        by[dict(rows)[r["doc_id"]] if r["doc_id"] >= n else r["doc_id"] // size].add(r["shard"])
+    assert sum(len(s) > 1 for s in by.values()) == 0
+
+
+def test_settle_swaps_and_cuts_least():
+    # whole in 40 shards of 500 only if each mixes both sizes
+    runs, cuts = settle({(4, -1): 2500, (3, -1): 3332}, capacities(20_000, 40))
+    assert not cuts
+    load = Counter()
+    for (m, _), r in runs.items():
+        for k, s in r:
+            load[s] += k * m
+    assert max(load.values()) <= 500 and sum(load.values()) == 2500 * 4 + 3332 * 3
+    # one larger than a shard spans three; three of 60 cannot be in two shards of 100
+    _, cuts = settle({(250, -1): 1, (2, 0): 10}, [100] * 4)
+    assert [len(p) for _, p in cuts] == [3]
+    _, cuts = settle({(60, -1): 3}, [100, 100])
+    assert [m for m, _ in cuts] == [60] and sum(k for k, _ in cuts[0][1]) == 60
+
+
 def test_odd_rows(odd, none):
     rows = shard_rows(odd).collect()
     laws(rows, 40)
