@@ -220,17 +220,19 @@ def labelled_texts(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Counts cover every labelled row but the calibration fold; the score's few weights are fitted on a bounded sample of that fold."""
+    """Counts cover every labelled row outside the held-out fold but a bounded sample of another, on which the score's few weights are fitted."""
     fold = id_fold(F.col("doc_id"), 5)
     known = written(known_labels(labels), "labels")
     shown = known.where(fold == 4)
     n, held = known.count(), shown.count()
-    grams = written(gram_counts(labelled_texts(docs, known.where(fold != 4), n)), "grams")
+    # written, so that counts leave out the same ids that weights are fitted on
+    shown = written(shown.where(unit_hash(F.col("doc_id")) < CALIBRATION_ROWS / max(1, held)).limit(2 * CALIBRATION_ROWS), "calibration")
+    learnt = known.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_anti")
+    grams = written(gram_counts(labelled_texts(docs, learnt, n)), "grams")
     if grams.agg(F.sum("n0"), F.sum("n1")).first()[0] is None:
         return None
     model = slots(log_ratios(grams))
     remove(grams)
-    shown = shown.where(unit_hash(F.col("doc_id")) < CALIBRATION_ROWS / max(1, held)).limit(2 * CALIBRATION_ROWS)
     pairs = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")
     # only features come to the driver, a bounded number of rows
     got = pairs.select(evidence(model, F.col("text")).alias("x"), F.col("toxic").cast("double").alias("y")).toArrow()

@@ -65,3 +65,19 @@ def test_odd_rows(spark, odd, none):
         got = tox.toxicity(odd, tox.fit(odd, known)).collect()
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert tox.toxicity(none, tox.fit(none, labels)).count() == 0
+
+
+def test_counts_leave_out_only_the_calibration_sample(spark, monkeypatch):
+    labels = spark.range(400).selectExpr("id AS doc_id", "1 AS quality", "int(id % 4 = 0) AS toxic")
+    docs = labels.selectExpr("doc_id", "IF(toxic = 1, 'you fool', 'kind fox') AS text")
+    seen, count = [], tox.gram_counts
+
+    def counted(labelled):
+        seen.append(labelled.count())
+        return count(labelled)
+
+    monkeypatch.setattr(tox, "gram_counts", counted)
+    monkeypatch.setattr(tox, "CALIBRATION_ROWS", 10)
+    tox.fit(docs, labels)
+    known = tox.known_labels(labels).count()
+    assert known - 20 <= seen[0] < known
