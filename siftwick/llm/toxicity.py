@@ -17,6 +17,7 @@ from .common import id_fold, remove, small_batches, unit_hash, written
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 6
 DISCOUNT = 0.75
+#: Slots at least; there are as many as n-grams if those are more.
 SLOTS = 1 << 21
 CALIBRATION_ROWS = 4_000
 #: Labels (an id and a number each) that a broadcast may hold.
@@ -66,7 +67,7 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "t
 
 
 def log_ratios(grams: DataFrame, discount: float = DISCOUNT, order: int = ORDER) -> DataFrame:
-    """(key, value, weight): log P(toxic) - log P(ordinary) for each n-gram, and for each context alone.
+    """(key, value): log P(toxic) - log P(ordinary) for each n-gram, and for each context alone.
 
     P_c(x | h) = (max(n_c(hx) - D, 0) + D t_c(h) P(x | h')) / n_c(h), where P(x | h')
     is a Kneser-Ney model from the continuation counts of both classes
@@ -105,35 +106,52 @@ def log_ratios(grams: DataFrame, discount: float = DISCOUNT, order: int = ORDER)
     def backoff(c: int) -> Column:
         return F.when(F.col(f"a{c}") > 0, discount * F.col(f"t{c}") / F.col(f"a{c}")).otherwise(F.lit(1.0))
 
-    def row(text: Column, value: Column, weight: Column) -> list[Column]:
-        return [F.xxhash64(text).alias("key"), value.alias("value"), weight.cast("double").alias("weight")]
+    def row(text: Column, value: Column) -> list[Column]:
+        return [F.xxhash64(text).alias("key"), value.alias("value")]
 
-    whole = full.select(*row(F.col("g"), F.log(prob(1) / prob(0)), F.col("n0") + F.col("n1")))
-    alone = heads.select(*row(F.concat(F.col("h"), F.lit("\x00")), F.log(backoff(1) / backoff(0)), F.col("a0") + F.col("a1")))
+    whole = full.select(*row(F.col("g"), F.log(prob(1) / prob(0))))
+    alone = heads.select(*row(F.concat(F.col("h"), F.lit("\x00")), F.log(backoff(1) / backoff(0))))
     return whole.unionByName(alone)
 
 
 @dataclass
 class Model:
-    """Log ratios in a fixed number of slots, and the weights that make a score of them."""
+    """Log ratios with their whole keys, and the weights that make a score of them."""
 
-    known: np.ndarray  # bool by slot
-    value: np.ndarray  # float32 by slot
+    key: np.ndarray  # uint64, in the order of slots
+    value: np.ndarray  # float32 by key
+    start: np.ndarray  # where the keys of each slot begin, and the end
     weights: np.ndarray | None = None
     shift: np.ndarray | None = None
     scale: np.ndarray | None = None
 
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Where the keys are, -1 for those that were never seen."""
+        slot = key % np.uint64(len(self.start) - 1)
+        at, end = self.start[slot].astype(np.int64), self.start[slot + np.uint64(1)]
+        out = np.full(len(key), -1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            i = at[open_]
+            hit = self.key[i] == key[open_]
+            out[open_[hit]] = i[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
+
 
 def slots(ratios: DataFrame, n: int = SLOTS) -> Model:
-    """Put the ratios into ``n`` slots by hash, whatever their number; those that meet are averaged by how often they are seen."""
-    s = F.pmod(F.col("key"), F.lit(n)).cast("int").alias("slot")
-    rows = ratios.groupBy(s).agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).cast("float").alias("v"))
-    got = rows.toArrow()  # n rows at most
-    known, value = np.zeros(n, bool), np.zeros(n, np.float32)
-    at = got.column("slot").to_numpy()
-    known[at] = True
-    value[at] = got.column("v").to_numpy()
-    return Model(known, value)
+    """All ratios by slot, each under its own 64-bit key; there are ``n`` slots, doubled while keys are more."""
+    got = ratios.select("key", F.col("value").cast("float").alias("value")).toArrow()  # a row per n-gram and context
+    key = got.column("key").to_numpy().view(np.uint64)
+    while n < len(key):
+        n *= 2
+    slot = key % np.uint64(n)
+    order = np.argsort(slot)
+    start = np.zeros(n + 1, np.int32 if len(key) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount(slot.astype(np.int64), minlength=n), out=start[1:])
+    return Model(key[order], got.column("value").to_numpy()[order], start)
 
 
 class Scorer:
@@ -148,17 +166,18 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         """(log ratio, number of events) of each word."""
-        n, known, value, digest = len(self.model.known), self.model.known, self.model.value, self.hash
+        find, value, digest = self.model.find, self.model.value, self.hash
         grams = [events(w) for w in words]
         flat = [g for gs in grams for g in gs]
         if not flat:
             return np.empty((0, 2))
-        # Spark's hash is signed, but n divides 2**64, so the remainder is the same
-        a = np.array([digest(g.encode(), 42) for g in flat], np.uint64) % np.uint64(n)
-        llr = value[a].astype(np.float64)
-        out = np.flatnonzero(~known[a])
-        b = np.array([digest(f"{flat[i][:-1]}\x00".encode(), 42) for i in out], np.uint64) % np.uint64(n)
-        llr[out] = value[b]
+        llr = np.zeros(len(flat))
+        # the same bits as Spark's hash, which is signed
+        a = find(np.array([digest(g.encode(), 42) for g in flat], np.uint64))
+        llr[a >= 0] = value[a[a >= 0]]
+        out = np.flatnonzero(a < 0)
+        b = find(np.array([digest(f"{flat[i][:-1]}\x00".encode(), 42) for i in out], np.uint64))
+        llr[out[b >= 0]] = value[b[b >= 0]]
         size = np.array([len(gs) for gs in grams])
         begin = np.cumsum(np.concatenate([[0], size[:-1]]))
         return np.stack([np.add.reduceat(llr, begin), size], axis=1)

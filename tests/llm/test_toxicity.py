@@ -81,3 +81,15 @@ def test_counts_leave_out_only_the_calibration_sample(spark, monkeypatch):
     tox.fit(docs, labels)
     known = tox.known_labels(labels).count()
     assert known - 20 <= seen[0] < known
+
+
+def test_ratios_do_not_meet_in_slots(spark):
+    texts = [("you fool fool", 1), ("a foolish fox", 1), ("the fox and the food", 0), ("you are kind, Kind", 0)]
+    ratios = tox.log_ratios(tox.gram_counts(spark.createDataFrame(texts, "text string, toxic int")))
+    want, scorer = kneser_ney(texts), tox.Scorer(tox.slots(ratios, 16))
+    for w in ("fool", "the", "kind", "fox"):
+        assert scorer.words([w])[0][0] == pytest.approx(sum(want[g] for g in tox.events(w)), abs=1e-4)
+    assert len(scorer.model.key) == ratios.count()
+    # a word of which nothing was seen but the start has the ratio of that context alone
+    alone = ratios.where("key = xxhash64('^\x00')").first()["value"]
+    assert scorer.words(["zzz"])[0][0] == pytest.approx(alone, abs=1e-4)
