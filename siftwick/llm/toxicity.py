@@ -29,9 +29,23 @@ FEATURES = 3 + len(TOP)
 
 
 def events(word: str, order: int = ORDER) -> list[str]:
-    """The character n-grams of a word with its ends; each ends in the character that it predicts."""
-    w = f"^{word[:LONGEST_WORD]}$"
-    return [w[max(0, i - order + 1) : i + 1] for i in range(1, len(w))]
+    """The character n-grams of a word with its ends, or of a slice of one; each ends in the character that it predicts."""
+    sliced = word.startswith("~")
+    w = word[1:] if sliced else f"^{word}$"
+    first = order - 1 if sliced and not w.startswith("^") else 1
+    return [w[max(0, i - order + 1) : i + 1] for i in range(first, len(w))]
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words; long ones in slices, marked by ``~``, that have the word's n-grams between them once each."""
+    out = []
+    for word in WORD.findall(text.lower()):
+        if len(word) <= LONGEST_WORD:
+            out.append(word)
+        else:
+            w = f"^{word}$"
+            out += ["~" + w[max(0, i - ORDER + 1) : i + LONGEST_WORD] for i in range(1, len(w), LONGEST_WORD)]
+    return out
 
 
 def gram_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -56,7 +70,7 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "t
 
         for b in batches:
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words[int(y)].update(WORD.findall((text.as_py() or "").lower()))
+                words[int(y)].update(words_of(text.as_py() or ""))
                 if len(words[0]) + len(words[1]) > CACHED_WORDS:
                     yield out()
         yield out()
@@ -187,7 +201,7 @@ class Scorer:
         rows = np.zeros((len(texts), FEATURES))
         for i, text in enumerate(texts):
             text = text.as_py()
-            words = WORD.findall(text.lower()) if text else []
+            words = words_of(text) if text else []
             if not words:
                 continue
             if new := set(words).difference(self.row):

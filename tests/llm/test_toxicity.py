@@ -93,3 +93,12 @@ def test_ratios_do_not_meet_in_slots(spark):
     # a word of which nothing was seen but the start has the ratio of that context alone
     alone = ratios.where("key = xxhash64('^\x00')").first()["value"]
     assert scorer.words(["zzz"])[0][0] == pytest.approx(alone, abs=1e-4)
+
+
+@pytest.mark.parametrize("n", [40, 41, 80, 81, 119, 1000])
+def test_long_words_are_read_to_their_end(n):
+    word = "".join(chr(97 + i * i % 23) for i in range(n))
+    got = [g for w in tox.words_of(f"a {word.upper()} b") for g in tox.events(w)]
+    w = f"^{word}$"
+    assert got == ["^a", "^a$", *[w[max(0, i - 5) : i + 1] for i in range(1, len(w))], "^b", "^b$"]
+    assert all(len(x) <= 46 for x in tox.words_of(word))
