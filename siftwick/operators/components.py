@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import remove, written
+from ..storage import counted, remove, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -27,11 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = low.join(told, "id", "left").select("id", "comp", F.least("n", F.coalesce("h", "n")).alias("n"))
         step = written(low, "components-step")
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("j"))
-        new = written(step.join(jump, "n", "left").select("id", F.least("n", F.coalesce("j", "n")).alias("comp"), F.col("comp").alias("was")), "components")
-        remove(step)
-        remove(state)
+        new = step.join(jump, "n", "left").select("id", F.least("n", F.coalesce("j", "n")).alias("comp"), F.col("comp").alias("was"))
+        new, seen = counted(new, "components", moved=F.count_if(F.col("comp") != F.col("was")))
+        remove(step, state)
         state = new.select("id", "comp")
-        if new.where("comp <> was").limit(1).count() == 0:
+        if not seen["moved"]:
             remove(both)
             return state
     raise RuntimeError("components did not settle; raise max_rounds")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -55,11 +55,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written``."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        fs, at = file_system(df.sparkSession, path)
-        fs.delete(at, True)
+def counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of its rows that come with the write, so that no job is spent on them."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), name)
+    return out, seen.get
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``written``, once what was made of them is written."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, at = file_system(df.sparkSession, path)
+            fs.delete(at, True)
+
+
+def spare(names: list[str], *stems: str) -> list[str]:
+    """Helper names that no column has, whatever its case."""
+    held = {n.lower() for n in names}
+    out = []
+    for stem in stems:
+        while stem.lower() in held:
+            stem += "_"
+        held.add(stem.lower())
+        out.append(stem)
+    return out
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -67,16 +87,18 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     Rows are sorted over range partitions and written with their place inside
     their partition; partitions are counted, and each starts where the ones
-    before it end. The table of starts has one row per partition.
+    before it end. The table of starts has one row per partition, of which
+    Spark has a few hundred thousand at most.
     """
     spark = df.sparkSession
-    placed = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), f"sorted-{name}")
-    part = F.shiftright("__at", 33)
+    at, p, start = spare([*df.columns, name], "__at", "__p", "__start")
+    placed = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), f"sorted-{name}")
+    part = F.shiftright(at, 33)
     counts = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}  # a row per partition
     starts, total = [], 0
-    for p in sorted(counts):
-        starts.append((p, total))
-        total += counts[p]
-    table = spark.createDataFrame(starts, "__p long, __start long")
-    out = placed.withColumn("__p", part).join(F.broadcast(table), "__p")
-    return out.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__p", "__at", "__start")
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    table = spark.createDataFrame(starts, f"`{p}` long, `{start}` long")
+    out = placed.withColumn(p, part).join(F.broadcast(table), p)
+    return out.withColumn(name, F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(p, at, start)
