@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
-from ..storage import new_path, passing, remove, shared_dir, written
+from ..storage import counted, new_path, passing, remove, shared_dir, spare, written
 
-__all__ = ["SPACE", "ascii_lower", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "tables", "unit_hash", "written"]
+__all__ = ["SPACE", "ascii_lower", "counted", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "spare", "spread", "tables", "unit_hash", "written"]
 
 # ASCII white space that separates words, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"
@@ -40,3 +40,9 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers started from now on find this package as the driver does
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files are too few to keep them busy; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
