@@ -12,28 +12,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, small_batches, unit_hash
+from .common import columns_of, id_fold, remove, small_batches, spare, unit_hash, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
-#: Bounds of the training sample and of the model.
-DOCS_PER_LANGUAGE = 150
-LONGEST_SAMPLE_TEXT = 20_000
+#: Bounds of the training sample: rows of a language, rows of all languages (but LEAST_DOCS of each),
+#: runs of words that are drawn from all over a whole text, and letters of a word in a run.
+DOCS_PER_LANGUAGE, SAMPLE_DOCS, LEAST_DOCS = 150, 12_000, 20
+RUNS, CHAIN_WORDS, RUN_LETTERS = 12, 48, 200
+#: Languages whose counts a broadcast may hold.
+LABELS_SENT = 10_000
+#: Bounds of the model.
 MAX_FEATURES = 60_000
-MAX_CHAINS = 3_000
-CHAIN_WORDS = 48
-CACHED_WORDS = 120_000
-BLOCK_WORDS = 80_000
-FRESH_WORDS = 10_000
+MAX_CHAINS, CHAINS_PER_LANGUAGE = 3_000, 20
+#: Numbers (a word has one for each language) that are held at a time.
+CACHED, BLOCK, FRESH = 480_000, 320_000, 400_000
+#: Up to so many languages messages are carried by products of matrices.
+FEW = 16
 
 
-def features(word: str) -> list[str]:
-    """Lexicon, affix and n-gram features of a lower-case word."""
-    w = word if len(word) <= 30 else word[:15] + word[-15:]
-    b = f"<{w}>"
-    grams = [b[i : i + 3] for i in range(len(b) - 2)] + [w[i : i + 2] for i in range(len(w) - 1)]
-    return ["=" + w, "p" + w[:1], "p" + w[:2], "s" + w[-1:], "s" + w[-2:], "s" + w[-4:], *grams]
+def features(word: str) -> Iterator[str]:
+    """Lexicon, affix and n-gram features of a whole lower-case word of any length."""
+    yield from ("=" + word, "^" + word[:1], "^" + word[:2], "$" + word[-1:], "$" + word[-2:], "$" + word[-4:])
+    b = f"<{word}>"
+    yield from (b[i : i + 3] for i in range(len(b) - 2))
+    yield from (word[i : i + 2] for i in range(len(word) - 1))
 
 
 def scan(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray, width: int = 160) -> np.ndarray:
@@ -84,6 +88,33 @@ def scan(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndar
     return alpha.reshape(-1, states)[:n]
 
 
+def scan_abreast(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``scan`` for many states: chains side by side, so that a word costs the square of the states and not the cube."""
+    begin = np.flatnonzero(starts)
+    size = np.diff(np.append(begin, len(emit)))
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    longer = [int(np.searchsorted(-size, -k)) for k in range(int(size[0]) + 1)]  # chains of more than k words
+    alpha = np.empty_like(emit)
+    a = np.empty((0, emit.shape[1]))
+    for k in range(int(size[0])):
+        at = begin[: longer[k]] + k
+        a = (a[: len(at)] @ trans if k else first) * emit[at]
+        a /= a.sum(1, keepdims=True)
+        alpha[at] = a
+    b = np.empty((0, emit.shape[1]))
+    for k in range(int(size[0]) - 1, -1, -1):
+        at = begin[: longer[k]] + k
+        now = np.ones((len(at), emit.shape[1]))
+        if n := longer[k + 1]:
+            step = (emit[at[:n] + 1] * b) @ trans.T
+            now[:n] = step / step.sum(1, keepdims=True)
+        p = alpha[at] * now
+        alpha[at] = p / p.sum(1, keepdims=True)
+        b = now
+    return alpha
+
+
 @dataclass
 class Crf:
     """Learned weights; small and of bounded size, so it travels with the tasks."""
@@ -95,8 +126,13 @@ class Crf:
     first: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """A row for each word; features are looked up for so many words at a time."""
-        parts = [self._emissions(words[i : i + FRESH_WORDS]) for i in range(0, len(words), FRESH_WORDS)]
+        """A row for each word; a bounded number of features is looked up at a time, or those of one word."""
+        parts, at, size = [], 0, 0
+        for i, w in enumerate(words):
+            size += 2 * len(w) + 5
+            if size >= FRESH or i + 1 == len(words):
+                parts.append(self._emissions(words[at : i + 1]))
+                at, size = i + 1, 0
         return np.concatenate(parts) if parts else np.ones((0, len(self.languages)))
 
     def _emissions(self, words: list[str]) -> np.ndarray:
@@ -109,38 +145,70 @@ class Crf:
         return np.exp(np.clip(x - x.max(1, keepdims=True), -30, 0))
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60) -> Crf | None:
-    """Fit a CRF to (text, language) rows by gradient ascent on the log-likelihood.
+Runs = list[list[str]]
+
+
+def chains_of(rows: list[tuple[Runs, str]], languages: list[str], seed: int) -> tuple[list[list[str]], np.ndarray]:
+    """Training chains of CHAIN_WORDS words, and their tags.
 
-    Half of the chains are runs of one text; the others switch language every
-    few words, made of runs of different texts, so that transitions learn both
-    that languages last and how words betray a switch.
+    Half of the chains are words of one text; the others switch language every
+    few words, so that transitions learn both that languages last and how
+    words betray a switch.
     """
     rng = np.random.default_rng(seed)
-    by: dict[str, list[list[str]]] = {}
-    for text, lang in rows:
-        if words := WORD.findall(text.lower()):
-            by.setdefault(lang, []).append(words)
-    languages = sorted(by)
-    if not languages:
-        return None
-    states = len(languages)
+    by: dict[str, list[Runs]] = {}
+    for runs, lang in rows:
+        by.setdefault(lang, []).append(runs)
+    states, words_held = len(languages), sum(len(r) for runs, _ in rows for r in runs)
     chains, tags = [], []
-    for c in range(min(MAX_CHAINS, 40 * sum(map(len, by.values())))):
+    for c in range(min(max(MAX_CHAINS, CHAINS_PER_LANGUAGE * states), 40 * words_held)):
         words: list[str] = []
         tag: list[int] = []
         mixed = c % 2 and states > 1
+        home = c // 2 % states  # each language in turn, so that rare ones are learnt too
         while len(words) < CHAIN_WORDS:
-            k = int(rng.integers(states)) if mixed or not tag else tag[-1]
+            k = int(rng.integers(states)) if mixed and tag else home
             docs = by[languages[k]]
             doc = docs[int(rng.integers(len(docs)))]
+            run = doc[int(rng.integers(len(doc)))]
             n = int(rng.integers(2, 16)) if mixed else CHAIN_WORDS
-            at = int(rng.integers(max(1, len(doc) - n + 1)))
-            run = doc[at : at + n]
-            words += run
-            tag += [k] * len(run)
+            at = int(rng.integers(max(1, len(run) - n + 1)))
+            words += run[at : at + n]
+            tag += [k] * len(run[at : at + n])
         chains.append(words[:CHAIN_WORDS])
         tags.append(tag[:CHAIN_WORDS])
+    return chains, np.array(tags)
+
+
+def expected(e: np.ndarray, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the words of chains of one length, and expected counts of transitions."""
+    length = e.shape[1]
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    a = first * e[:, 0]
+    alpha[:, 0] = a / a.sum(1, keepdims=True)
+    for k in range(1, length):
+        a = (alpha[:, k - 1] @ t) * e[:, k]
+        alpha[:, k] = a / a.sum(1, keepdims=True)
+    for k in range(length - 1, 0, -1):
+        b = (e[:, k] * beta[:, k]) @ t.T
+        beta[:, k - 1] = b / b.sum(1, keepdims=True)
+    pairs = np.zeros_like(t)
+    for k in range(1, length):
+        b = e[:, k] * beta[:, k]
+        whole = ((alpha[:, k - 1] @ t) * b).sum(1, keepdims=True)
+        pairs += t * ((alpha[:, k - 1] / whole).T @ b)
+    p = alpha * beta
+    return p / p.sum(2, keepdims=True), pairs
+
+
+def train(rows: list[tuple[Runs, str]], seed: int = 7, rounds: int = 60) -> Crf | None:
+    """Fit a CRF to (runs of words, language) rows by gradient ascent on the log-likelihood."""
+    rows = [(runs, lang) for runs, lang in rows if runs]
+    languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return None
+    states = len(languages)
+    chains, y = chains_of(rows, languages, seed)
     counts = Counter(f for ws in chains for w in ws for f in features(w))
     chosen = [f for f, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1][:MAX_FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
@@ -150,7 +218,6 @@ def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60) -> Crf |
     at = np.cumsum([0] + [len(fs) for fs in feats[:-1]])
     owner = np.repeat(np.arange(len(feats)), [len(fs) for fs in feats])
     x = np.array([[vocab[w] for w in ws] for ws in chains])
-    y = np.array(tags)
     gold = np.zeros((len(vocab), states))
     np.add.at(gold, (x.ravel(), y.ravel()), 1)
     gold_t = np.full((states, states), 0.0)
@@ -158,50 +225,71 @@ def train(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60) -> Crf |
     weights = np.zeros((len(index) + 1, states))
     log_t = np.zeros((states, states))
     sums = [np.zeros_like(weights), np.zeros_like(log_t)]
-    n_chains, length = x.shape
     first = np.full(states, 1 / states)
-    for r in range(rounds):
+    block = max(1, 4_000_000 // (CHAIN_WORDS * states))  # chains whose messages are held at a time
+    for _ in range(rounds):
         score = np.add.reduceat(weights[flat], at, axis=0)
-        e = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0))[x]  # (chains, words, states)
+        word = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0))
         t = np.exp(log_t)
-        alpha, beta = np.empty_like(e), np.ones_like(e)
-        a = first * e[:, 0]
-        alpha[:, 0] = a / a.sum(1, keepdims=True)
-        for k in range(1, length):
-            a = (alpha[:, k - 1] @ t) * e[:, k]
-            alpha[:, k] = a / a.sum(1, keepdims=True)
-        for k in range(length - 1, 0, -1):
-            b = (e[:, k] * beta[:, k]) @ t.T
-            beta[:, k - 1] = b / b.sum(1, keepdims=True)
-        p = alpha * beta
-        p /= p.sum(2, keepdims=True)
-        expect_t = np.zeros_like(t)
-        for k in range(1, length):
-            pair = alpha[:, k - 1, :, None] * t * (e[:, k] * beta[:, k])[:, None, :]
-            expect_t += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        expect = np.zeros((len(vocab), states))
-        for k in range(states):
-            expect[:, k] = np.bincount(x.ravel(), p[..., k].ravel(), minlength=len(vocab))
-        diff = gold - expect
+        diff, diff_t = gold.copy(), gold_t.copy()
+        for i in range(0, len(x), block):
+            p, pairs = expected(word[x[i : i + block]], t, first)
+            diff_t -= pairs
+            for k in range(states):
+                diff[:, k] -= np.bincount(x[i : i + block].ravel(), p[..., k].ravel(), minlength=len(vocab))
         grad = np.stack([np.bincount(flat, diff[owner, k], minlength=len(weights)) for k in range(states)], axis=1)
-        for value, g, q, decay in ((weights, grad, sums[0], 1.0), (log_t, gold_t - expect_t, sums[1], 1.0)):
+        for value, g, q, decay in ((weights, grad, sums[0], 1.0), (log_t, diff_t, sums[1], 1.0)):
             g = g - decay * value
             q += g * g
             value += 0.5 * g / np.sqrt(q + 1e-9)
     return Crf(languages, index, weights, np.exp(log_t - log_t.max()), first)
 
 
-def sample(df: DataFrame, label_col: str = "lang", per_label: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST_SAMPLE_TEXT) -> list[tuple[str, str]]:
-    """About ``per_label`` (text, label) rows for each label, fixed by their ids."""
-    ok = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest))
-    counts = {r[0]: r[1] for r in ok.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(256).collect()}
-    if not counts:
+def pieces(word: str) -> list[str]:
+    """A word of the sample; of one beyond RUN_LETTERS letters, pieces from all over it."""
+    if len(word) <= RUN_LETTERS:
+        return [word]
+    size = RUN_LETTERS // 5
+    return [word[round(k * (len(word) - size) / 4) :][:size] for k in range(5)]
+
+
+def runs_of(text: str) -> Runs:
+    """Up to RUNS runs of words, evenly from all over a text."""
+    words = WORD.findall(text.lower())
+    if len(words) <= RUNS * CHAIN_WORDS:
+        begin = range(0, len(words), CHAIN_WORDS)
+    else:
+        begin = [round(k * (len(words) - CHAIN_WORDS) / (RUNS - 1)) for k in range(RUNS)]
+    return [[p for w in words[i : i + CHAIN_WORDS] for p in pieces(w)] for i in begin]
+
+
+def drawn(text: Column) -> Column:
+    """``runs_of`` by an Arrow function, so that no whole text of the sample leaves its task."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            yield pa.array([runs_of(t.as_py() or "") for t in texts], pa.list_(pa.list_(pa.string())))
+
+    small_batches(SparkSession.active())
+    return F.arrow_udf(run, "array<array<string>>")(text)
+
+
+def sample(df: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Runs, str]]:
+    """About DOCS_PER_LANGUAGE rows for each label, fixed by their ids and texts, as runs of their words.
+
+    Texts of any length are drawn from, and every label is, however rare.
+    """
+    ok = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y")).where("y IS NOT NULL AND t IS NOT NULL")
+    sizes = written(ok.groupBy("y").agg(F.count("*").alias("n")), "languages")
+    labels = sizes.count()
+    if not labels:
         return []
-    wanted = F.lit(False)
-    for label, n in counts.items():
-        wanted |= (F.col(label_col) == F.lit(label)) & (unit_hash(F.col(id_col), F.lit("sample")) < F.lit(per_label / n))
-    rows = ok.where(wanted).select(text_col, label_col).orderBy(F.col(id_col), F.col(text_col))
-    return [(r[0], str(r[1])) for r in rows.limit(2 * per_label * len(counts)).collect()]
+    each = max(LEAST_DOCS, min(DOCS_PER_LANGUAGE, SAMPLE_DOCS // labels))
+    ok = ok.join(F.broadcast(sizes) if labels <= LABELS_SENT else sizes, "y").withColumn("u", unit_hash(F.col("i"), F.col("t")))
+    rows = ok.where(F.col("u") * F.col("n") < each).select("u", "i", "y", drawn(F.col("t")).alias("r"))
+    got = rows.orderBy("u", "i", "y").select("r", "y").limit(2 * each * labels).collect()
+    remove(sizes)
+    return [(r["r"], r["y"]) for r in got]
 
 
 LABEL = "lang_pred string, score double, shares array<double>"
@@ -209,6 +297,8 @@ LABEL = "lang_pred string, score double, shares array<double>"
 
 def labeller(model: Crf | None):
     """Arrow array of texts -> list of the languages' shares, None where there is no letter."""
+    states = len(model.languages) if model else 1
+    messages = scan if states <= FEW else scan_abreast
     row: dict[str, int] = {}
     table = np.empty((0, 0))
 
@@ -222,7 +312,7 @@ def labeller(model: Crf | None):
             nonlocal row, table
             words = [w for _, ws in held for w in ws]
             new = set(words).difference(row)
-            if len(row) + len(new) > CACHED_WORDS:
+            if (len(row) + len(new)) * states > CACHED:
                 row, new = {}, set(words)
             fresh = sorted(new)
             more = model.emissions(fresh)
@@ -232,7 +322,7 @@ def labeller(model: Crf | None):
             starts = np.zeros(len(words), bool)
             begin = np.cumsum([0] + [len(ws) for _, ws in held[:-1]])
             starts[begin] = True
-            p = np.add.reduceat(scan(table[at], starts, model.trans, model.first), begin, axis=0)
+            p = np.add.reduceat(messages(table[at], starts, model.trans, model.first), begin, axis=0)
             for (i, ws), q in zip(held, p, strict=True):
                 shares[i] = q / len(ws)
 
@@ -244,7 +334,7 @@ def labeller(model: Crf | None):
             if any(ch.isalpha() for w in words for ch in w):
                 held.append((i, words))
                 size += len(words)
-                if size >= BLOCK_WORDS:
+                if size * states >= BLOCK:
                     flush()
                     held, size = [], 0
         if held:
@@ -281,27 +371,34 @@ def identify(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col:
     ``shares`` holds the mean of the words' posteriors for each language of
     the model, ``lang_pred`` is the largest (ties: first by name) and ``score``
     its share. Null texts and texts without a letter, or all texts if nothing
-    could be learned, are ``und`` with score 0. Repeated rows are each
-    labelled; an empty table gives an empty one; other columns are not read.
+    could be learned, are ``und`` with score 0. Words and texts of any length
+    are read to their end. Repeated rows are each labelled; an empty table
+    gives an empty one; other columns are not read.
     """
-    out = df.select(F.col(id_col).cast("long").alias("doc_id"), label(model, F.col(text_col)).alias("__x"))
-    return out.select("doc_id", "__x.lang_pred", "__x.score", "__x.shares")
+    out = df.select(F.col(id_col).cast("long").alias("doc_id"), label(model, F.col(text_col)).alias("x"))
+    return out.select("doc_id", "x.lang_pred", "x.score", "x.shares")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return id_fold(F.col(id_col), 3) == 1
 
 
-def fit(docs: DataFrame) -> Crf | None:
-    """Learn from a bounded sample of the rows that are not held out."""
-    return train(sample(docs.where(~held_out())))
+def fit(docs: DataFrame, rounds: int = 60) -> Crf | None:
+    """Learn from a bounded sample of the rows that are not held out; None if none has a language and a word."""
+    return train(sample(docs.where(~held_out())), rounds=rounds)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Rows whose language is told with a share of at least ``least``; columns as they are."""
-    out = docs.select("*", label(fit(docs), F.col("text")).alias("__lang"))
-    return out.where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows whose texts have a language; columns as they are, whatever their names.
+
+    Rejected are null texts and texts without a letter, and all rows if nothing
+    could be learned. A text in several languages is kept, however even its
+    shares. Repeated rows are each judged; an empty table gives an empty one.
+    """
+    (x,) = spare(docs.columns, "told")
+    out = docs.select("*", label(fit(docs), F.col("text"))["lang_pred"].alias(x))
+    return out.where(F.col(x) != UNKNOWN).select(*columns_of(docs))
