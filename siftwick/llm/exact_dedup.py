@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, passing, written
+from .common import ascii_lower, columns_of, file_system, new_path, remove, spare, written
+
+#: Batches in which a table meets the index.
+BATCHES = 2
+BUCKETS = 64
 
 
 def text_digest(text: Column) -> Column:
@@ -21,10 +26,13 @@ class DigestIndex:
     A table of the session's catalog whose files lie in the shared folder,
     bucketed and sorted by digest, so that an anti-join with a new batch moves
     and sorts the batch alone. ``append`` adds a file to each bucket and makes
-    nothing else anew. ``attach`` finds an index again from its path.
+    nothing else anew. ``attach`` finds an index again from its path, ``close``
+    takes it out of the catalog and ``drop`` deletes its files too.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, path: str | None = None):
+    schema = "digest binary, keep_id bigint"
+
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, path: str | None = None):
         self.spark, self.buckets = spark, buckets
         self.path = path or new_path(spark, "digest-index")
         self.name = f"digest_index_{uuid.uuid4().hex}"
@@ -35,23 +43,31 @@ class DigestIndex:
         """``buckets`` must be the number that the index was written with."""
         index = cls(spark, buckets, path)
         spark.sql(
-            f"CREATE TABLE {index.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {index.name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"OPTIONS (path '{path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
         )
         index.empty = False
         return index
 
     def rows(self) -> DataFrame:
-        schema = "digest binary, keep_id bigint, group_size bigint"
-        return self.spark.createDataFrame([], schema) if self.empty else self.spark.table(self.name)
+        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.table(self.name)
 
     def append(self, fresh: DataFrame) -> None:
         """Add digests that the index does not hold yet."""
-        out = fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+        out = fresh.select("digest", "keep_id").repartition(self.buckets, "digest")
         out = out.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         out.mode("append").option("path", self.path).saveAsTable(self.name)
         self.empty = False
 
+    def close(self) -> None:
+        """The table is external, so its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def drop(self) -> None:
+        self.close()
+        fs, at = file_system(self.spark, self.path)
+        fs.delete(at, True)
+
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, digest), written, so that texts are read and hashed once."""
@@ -63,37 +79,53 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return written(ids, "digests")
 
 
-def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def falling(ids: DataFrame, batches: int) -> Iterator[DataFrame]:
+    """The rows in batches of about equal size, larger ids first and null ids last."""
+    doc = F.col("doc_id")
+    cuts = ids.select(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)], 1000)).first()[0] if batches > 1 else []
+    above = None
+    for cut in sorted(set(cuts or []), reverse=True):
+        yield ids.where(doc >= cut if above is None else (doc >= cut) & (doc < above))
+        above = cut
+    yield ids if above is None else ids.where(doc.isNull() | (doc < above))
+
+
+def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """One row per input row: which row of its equal texts stays, and whether it is this one.
 
-    Texts are equal when identical after lowering A-Z; null counts as empty.
-    Of a batch's equal texts the row with the largest id stays (of repeated
-    rows with that id, one; null ids come last), unless the index already
-    holds the text: then none stays and ``keep_id`` is the indexed id. New
-    digests are appended to the index. Empty tables give empty tables; other
-    columns are not read.
+    Texts are equal when identical after lowering A-Z, however long; null
+    counts as empty. Rows meet the index in batches of falling ids: of a
+    batch's equal texts the row with the largest id stays (of repeated rows
+    with that id, one; null ids come last), unless the index already holds the
+    text, from an earlier batch or an earlier call. Then none stays, and
+    ``keep_id`` is the indexed id. What a batch brings is appended.
+    ``group_size`` counts the table's rows. Empty tables give empty tables;
+    other columns are not read. Without an index of the caller's, one is made
+    and deleted.
 
     Groups are summed before the shuffle, so a digest that holds a third of
     all rows is one row a task there. The only join with a row per document
     carries id and digest, and Spark may split its hot digests.
     """
-    lasting = index is not None
+    own = index is None
     index = index or DigestIndex(df.sparkSession)
     ids = digests(df, id_col, text_col)
-    groups = ids.groupBy("digest").agg(
-        F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "rid")).alias("top"), F.count("*").alias("group_size")
-    )
-    groups = groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.rid").alias("keep_rid"), "group_size")
-    old = index.rows().select("digest", F.col("keep_id").alias("old_id"))
-    fresh = written(groups.hint("merge").join(old.hint("merge"), "digest", "left_anti"), "fresh")
-    win = fresh
-    if not index.empty:  # texts that an earlier batch brought
-        seen = groups.hint("merge").join(old.hint("merge"), "digest")
-        none = F.lit(None).cast("long").alias("keep_rid")
-        win = fresh.unionByName(written(seen.select("digest", F.col("old_id").alias("keep_id"), none, "group_size"), "seen"))
-    index.append(fresh)
-    if not lasting:
-        passing(df.sparkSession, index.path)
+    parts = []
+    for part in falling(ids, batches):
+        groups = part.groupBy("digest").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "rid")).alias("top"))
+        groups = groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.rid").alias("keep_rid"))
+        fresh = written(groups.hint("merge").join(index.rows().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
+        index.append(fresh)
+        parts.append(fresh)
+    new = parts[0]
+    for fresh in parts[1:]:
+        new = new.unionByName(fresh)
+    sizes = ids.groupBy("digest").agg(F.count("*").alias("group_size"))
+    win = sizes.hint("merge").join(index.rows().hint("merge"), "digest").join(new.select("digest", "keep_rid").hint("merge"), "digest", "left")
+    win = written(win, "groups")
+    remove(*parts)
+    if own:
+        index.drop()
     out = ids.hint("merge").join(win.hint("merge"), "digest")
     return out.select(
         "doc_id",
@@ -105,18 +137,22 @@ def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
 
 
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever the names.
 
     Whole rows are moved by id, which no group of copies can make hot. Rows
-    that repeat in both id and text count as one.
+    that repeat in both id and text count as one, null ids and texts included;
+    which of them stays is not defined. Ties of ids over different texts keep a
+    row each. An empty table gives an empty one.
     """
     kept = written(exact_dedup(docs, index).where("kept").select("doc_id", "text_sha256"), "kept")
     unique = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0
     if unique:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    key = docs.withColumn("__sha", text_digest(F.col("text")))
-    on = key["doc_id"].eqNullSafe(kept["doc_id"]) & (key["__sha"] == kept["text_sha256"])
-    return key.join(kept, on, "left_semi").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
+    sha, told, number = spare(docs.columns, "sha", "told", "number")
+    key = docs.withColumn(sha, text_digest(F.col("text")))
+    kept = kept.select(F.col("text_sha256").alias(told), F.col("doc_id").alias(number))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(sha) == F.col(told))
+    return key.join(kept, on, "left_semi").dropDuplicates(["doc_id", sha]).select(*columns_of(docs))
 
 
 EXACT_SQL = """
