@@ -5,39 +5,67 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import small_batches, written
+from .common import columns_of, remove, small_batches, spare, written
 
 WORD = re.compile(r"\w+")
-WORDS = 5
-SIMILARITY = 0.8
-#: MinHash values in bands of four: a pair at the threshold meets in a band but for 3 in a million.
-BANDS, ROWS = 24, 4
-HASHES = BANDS * ROWS
-#: A pair is dropped once the chance that it reaches the threshold is below this.
-TOLERANCE = 1e-6
-#: Values compared between two looks at that chance.
-STRIDE = 16
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
 #: Smaller groups are cut too, in up to so many blocks, so that tasks share them.
 SPREAD_SHINGLES, SPREAD_BLOCKS = 20_000, 16
 CACHED_WORDS = 150_000
 
-_rng = np.random.default_rng(20240229)
-_mult = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_place = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_band = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+@dataclass(frozen=True)
+class Alike:
+    """When two texts are alike, and how candidates are found and dropped.
+
+    MinHash values come in ``bands`` of ``rows``; a pair right at the
+    similarity of 0.8 meets in one of 24 bands of 4 but for 3 in a million. A
+    pair is dropped once the chance that it reaches the similarity falls below
+    ``tolerance``, looked at after every ``stride`` values.
+    """
+
+    words: int = 5
+    similarity: float = 0.8
+    bands: int = 24
+    rows: int = 4
+    tolerance: float = 1e-6
+    stride: int = 16
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+    def missed(self, similarity: float) -> float:
+        """The chance that a pair of a similarity meets in no band."""
+        return (1 - similarity**self.rows) ** self.bands
+
+
+NEAR = Alike()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache
+def family(rule: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odd factors: of the MinHash functions, of a word's place in its run, of a value's place in its band."""
+    rng = np.random.default_rng(20240229)
+
+    def odd(*shape: int) -> np.ndarray:
+        return rng.integers(1, 2**63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    return odd(rule.hashes), odd(rule.words), odd(rule.bands, rule.rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all hang on all bits."""
     x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -48,10 +76,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts -> sorted distinct 64-bit hashes of their runs of n lower-case words."""
 
-    def __init__(self, n: int = WORDS):
+    def __init__(self, rule: Alike = NEAR):
         import xxhash
 
-        self.n, self.hash, self.known = n, xxhash.xxh64_intdigest, {}
+        self.n, self.place, self.hash, self.known = rule.words, family(rule)[1], xxhash.xxh64_intdigest, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = WORD.findall(text.lower()) if text else []
@@ -68,28 +96,29 @@ class Shingler:
         n = min(self.n, len(ids))  # a shorter text is one shingle
         h = np.zeros(len(ids) - n + 1, np.uint64)
         for k in range(n):
-            h += mixed(ids[k : k + len(h)]) * _place[k]
+            h += mixed(ids[k : k + len(h)]) * self.place[k]
         return np.unique(mixed(h + np.uint64(n)))
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minhashes(shingles: np.ndarray, rule: Alike = NEAR) -> np.ndarray:
+    mult = family(rule)[0][:, None]
+    low = np.full(rule.hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
-        np.minimum(low, (_mult[:, None] * shingles[None, at : at + 1024]).min(1), out=low)
+        np.minimum(low, (mult * shingles[None, at : at + 1024]).min(1), out=low)
     return low
 
 
-SIGNED = "rid long, doc_id long, n int, digest binary, sig binary, bands array<long>"
+SIGNED = "rid long, doc_id long, tid binary, n int, digest binary, sig binary, bands array<long>"
 
 
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of shingles, digest of their set, a byte of each MinHash value, and a hash of each band."""
+def signatures(df: DataFrame, rule: Alike = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: an id of its text, number of shingles, digest of their set, a byte of each MinHash value, and a hash of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, factors = Shingler(rule), family(rule)[2]
         for b in batches:
             n, digest, sig, bands = [], [], [], []
-            for rid, text in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+            for rid, text in zip(b.column(0).to_pylist(), b.column(3), strict=True):
                 s = shingler(text.as_py())
                 n.append(len(s))
                 if not len(s):  # without words there is nothing to be like
@@ -97,23 +126,27 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     sig.append(None)
                     bands.append(None)
                     continue
-                m = minhashes(s)
+                m = mixed(minhashes(s, rule))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sig.append((mixed(m) >> np.uint64(56)).astype(np.uint8).tobytes())
-                bands.append(mixed((mixed(m).reshape(BANDS, ROWS) * _band).sum(1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "n", "digest", "sig", "bands"],
-            )
+                sig.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+                bands.append(mixed((m.reshape(rule.bands, rule.rows) * factors).sum(1)).astype(np.int64))
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "tid", "n", "digest", "sig", "bands"])
 
     small_batches(df.sparkSession)
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_id(text).alias("tid"), text.alias("text"))
     return rows.mapInArrow(run, SIGNED)
 
 
+def text_id(text: Column) -> Column:
+    """128 bits of a text; null is like no text."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+
+
 @lru_cache
-def least_matches(threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -> tuple[int, ...]:
-    """For each number of compared values, the fewest matches with which a pair still may reach the threshold.
+def least_matches(rule: Alike = NEAR) -> tuple[int, ...]:
+    """For each number of compared values, the fewest matches with which a pair still may reach the similarity.
 
     Under a uniform prior the similarity s has a likelihood of q^m (1 - q)^(k - m)
     after m matches of k, where q = s + (1 - s) / 256 as one byte of a value is
@@ -121,44 +154,40 @@ def least_matches(threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -
     """
     s = (np.arange(4000) + 0.5) / 4000
     q = s + (1 - s) / 256
-    above = s >= threshold
+    above = s >= rule.similarity
     out = []
-    for k in range(STRIDE, HASHES + 1, STRIDE):
+    for k in range(rule.stride, rule.hashes + 1, rule.stride):
         for m in range(k + 1):
             log = m * np.log(q) + (k - m) * np.log1p(-q)
             p = np.exp(log - log.max())
-            if p[above].sum() / p.sum() >= tolerance:
+            if p[above].sum() / p.sum() >= rule.tolerance:
                 out.append(m)
                 break
     return tuple(out)
 
 
-def surviving(sig: np.ndarray, bands: np.ndarray, size: np.ndarray, band: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float = SIMILARITY) -> np.ndarray:
-    """Which of the pairs (x[i], y[i]) of rows pass: sizes allow it, this band is their first in common, no look at the posterior drops them."""
+def surviving(sig: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, rule: Alike = NEAR) -> np.ndarray:
+    """Which of the pairs (x[i], y[i]) of rows pass: their sizes allow it, and no look at the posterior drops them."""
     small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-    keep = np.flatnonzero(small >= threshold * large)
-    for j, least in enumerate(least_matches(threshold)):
+    keep = np.flatnonzero(small >= rule.similarity * large * (1 - 1e-9))
+    for j, least in enumerate(least_matches(rule)):
         if not len(keep):
             return keep
-        cut = slice(0, (j + 1) * STRIDE)
-        got = (sig[x[keep], cut] == sig[y[keep], cut]).sum(1)
-        keep = keep[got >= least]
-    if len(keep):
-        same = bands[x[keep]] == bands[y[keep]]
-        keep = keep[same.argmax(1) == band[x[keep]]]
+        cut = slice(j * rule.stride, (j + 1) * rule.stride)
+        more = (sig[x[keep], cut] == sig[y[keep], cut]).sum(1)
+        got = more if j == 0 else got[ok] + more
+        ok = got >= least
+        keep = keep[ok]
     return keep
 
 
-def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest linked index for each of n, by repeated minima over pairs."""
-    label = np.arange(n)
+def roots(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest linked index for each, given those so far and more pairs, by repeated minima."""
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
+        for at in (x, y, label[x], label[y]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == label).all():
             return label
@@ -231,189 +260,188 @@ def matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(cid, root, others): pairs that no look at the posterior dropped.
+def candidates(reps: DataFrame, rule: Alike = NEAR) -> DataFrame:
+    """(cid, root): texts linked, in some bucket, by pairs that no look at the posterior dropped.
 
-    ``others`` lists the partners of cid, each pair in one of its rows; root
-    is the smallest cid that it is linked with in its bucket. Buckets larger
+    root is the smallest cid that it is linked with there, so a bucket gives a
+    row for each of its texts, however many pairs it holds. Buckets larger
     than BLOCK are cut into blocks that are compared two and two, by tasks of
     their own, so none holds a bucket whole.
     """
     rows = reps.where("n > 0").select("cid", F.posexplode("bands").alias("band", "h"))
-    rows = rows.select(F.xxhash64("band", "h").alias("key"), F.col("band").cast("int").alias("band"), "cid")
+    rows = rows.select(F.xxhash64("band", "h").alias("key"), "cid")
     shared = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     held = rows.hint("merge").join(shared.hint("merge"), "key")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int")
-    held = held.withColumns({"nb": blocks, "b": block})
-    # a member of block b stands in the tasks (min(b, j), max(b, j)) for each j
-    held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    held = held.select("key", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), (F.col("b") > F.col("j")).cast("int").alias("side"), "band", "cid")
-    short = F.transform("bands", lambda h: F.shiftright(h, 32).cast("int"))
-    facts = reps.select("cid", "n", "sig", short.alias("bands"))
-    full = held.hint("merge").join(facts.hint("merge"), "cid").select("key", "lo", "hi", "cid", "side", "band", "n", "sig", "bands")
+    held = in_blocks(held, F.ceil(F.col("k") / BLOCK).cast("int")).select("key", "lo", "hi", "side", "cid")
+    full = held.hint("merge").join(reps.select("cid", "n", "sig").hint("merge"), "cid").select("key", "lo", "hi", "cid", "side", "n", "sig")
     full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
-            key, lo, hi, cid, side, band, size = (t.column(i).to_numpy() for i in range(7))
-            sig = matrix(t.column(7), HASHES, np.uint8)
-            bands = t.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            ends = group_ends([key, lo, hi])
-            xs, ys = [], []
-            for x, y in pairs_within(ends, side, lo == hi):
-                ok = surviving(sig, bands, size, band, x, y)
-                xs.append(x[ok])
-                ys.append(y[ok])
-            if not xs:
-                continue
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            if not len(x):
-                continue
-            root = roots(len(cid), x, y)
-            order = np.argsort(x, kind="stable")
-            x, y = x[order], y[order]
-            at = np.unique(np.concatenate([x, y]))
-            begin, end = np.searchsorted(x, at), np.searchsorted(x, at, side="right")
-            offsets = np.concatenate([[0], np.cumsum(end - begin)])
-            others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cid[y], pa.int64()))
-            # in a run that stands for one key, rows are sorted by cid, so the smallest index is the smallest cid
-            yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[root[at]]), others], names=["cid", "root", "others"])
-
-    return full.mapInArrow(run, "cid long, root long, others array<long>")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            key, lo, hi, cid, side, size = (t.column(i).to_numpy() for i in range(6))
+            sig = matrix(t.column(6), rule.hashes, np.uint8)
+            label = np.arange(len(cid))
+            for x, y in pairs_within(group_ends([key, lo, hi]), side, lo == hi):
+                ok = surviving(sig, size, x, y, rule)
+                label = roots(label, x[ok], y[ok])
+            at = linked_rows(label)
+            # rows of a run are sorted by cid, so the smallest index is the smallest cid
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[label[at]])], names=["cid", "root"])
+
+    return full.mapInArrow(run, "cid long, root long")
+
+
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows dealt to blocks by cid, and copied to the tasks (lo, hi) that compare two blocks, or one with itself; side says which block a row is of."""
+    rows = rows.withColumn("nb", blocks)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb").cast("long")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.withColumns({"lo": F.least("b", "j"), "hi": F.greatest("b", "j"), "side": (F.col("b") > F.col("j")).cast("int")})
+
+
+def linked_rows(label: np.ndarray) -> np.ndarray:
+    """Those that have a root other than themselves, or are one."""
+    moved = label != np.arange(len(label))
+    moved[label[moved]] = True
+    return np.flatnonzero(moved)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, rule: Alike, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, shingles) of the texts whose ids are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(rule)
         for b in batches:
             sets = [shingler(t.as_py()).tobytes() for t in b.column(0)]
             digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("__id")
-    ids = wanted.select(F.coalesce(F.col("class_doc").cast("string"), F.lit("-")).alias("__id")).distinct()
-    texts = docs.select(key, F.col(text_col).alias("text")).join(ids, "__id", "left_semi")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("key")
+    ids = wanted.select(F.coalesce(F.col("class_doc").cast("string"), F.lit("-")).alias("key")).distinct()
+    texts = docs.select(key, F.col(text_col).alias("text")).join(ids, "key", "left_semi")
     return texts.select("text").mapInArrow(run, "digest binary, shingles binary")
 
 
-def verified(docs: DataFrame, reps: DataFrame, found: DataFrame, id_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
-    """(cid, root, links) by exact Jaccard similarity of the surviving pairs.
+def verified(docs: DataFrame, reps: DataFrame, found: DataFrame, rule: Alike, id_col: str, text_col: str) -> DataFrame:
+    """(cid, root, links) by exact Jaccard similarity of the pairs that survive.
 
-    Groups that survivors link are gathered with their shingle sets, in blocks
-    of about BLOCK_SHINGLES at most (or one text), compared two and two by
-    tasks of their own. links counts the rows of all texts that a text is linked with.
+    Groups that candidates link are gathered with their shingle sets, in
+    blocks of about BLOCK_SHINGLES at most (or one text), compared two and two
+    by tasks of their own. A task prunes the pairs of its blocks by the
+    posterior and checks the rest, so no pair is ever written or moved: what is
+    shuffled is a text's set once for each block of its group. links counts
+    the rows of all texts that a text is linked with.
     """
     groups = components(found, "cid", "root")
-    member = reps.select("cid", "class_doc", "digest", "m", "n").join(groups.withColumnRenamed("id", "cid"), "cid")
+    member = reps.select("cid", "class_doc", "digest", "m", "n", "sig").join(groups.withColumnRenamed("id", "cid"), "cid")
     member = written(member, "members")
     sizes = member.groupBy("comp").agg(F.sum("n").alias("all"))
-    partners = found.where(F.size("others") > 0).groupBy("cid").agg(F.flatten(F.collect_list("others")).alias("others"))
-    sets = shingle_sets(docs, member, id_col, text_col).groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
-    full = member.join(partners, "cid", "left").join(sizes, "comp").join(sets, "digest")
-    spread = F.least(F.ceil(F.col("all") / SPREAD_SHINGLES), F.lit(SPREAD_BLOCKS))
-    blocks = F.greatest(spread, F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    block = F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int")
-    full = full.withColumns({"nb": blocks, "b": block}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    full = full.select("comp", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "cid", "b", "m", "others", "shingles")
+    sets = shingle_sets(docs, member, rule, id_col, text_col).groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
+    full = member.join(sizes, "comp").join(sets, "digest")
+    few = F.least(F.ceil(F.col("all") / SPREAD_SHINGLES), F.lit(SPREAD_BLOCKS))
+    full = in_blocks(full, F.greatest(few, F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int"))
+    full = full.select("comp", "lo", "hi", "cid", "side", "m", "n", "sig", "shingles")
     full = full.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
-            comp, lo, hi, cid, b, m = (t.column(i).to_numpy() for i in range(6))
-            others, sets = t.column(6), t.column(7)
-            ends = group_ends([comp, lo, hi])
-            out: tuple[list, list, list] = ([], [], [])
-            for a, z in zip(ends[:-1], ends[1:], strict=True):
-                got = linked(cid[a:z], b[a:z], m[a:z], lo[a] == hi[a], others.slice(a, z - a), sets.slice(a, z - a), threshold)
-                for held, part in zip(out, got, strict=True):
-                    held.append(part)
-            cols = [np.concatenate(c) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cid", "root", "links"])
+            comp, lo, hi, cid, side, m, size = (t.column(i).to_numpy() for i in range(7))
+            sig, sets = matrix(t.column(7), rule.hashes, np.uint8), [np.frombuffer(s.as_py(), np.uint64) for s in t.column(8)]
+            label, links = np.arange(len(cid)), np.zeros(len(cid), np.int64)
+            for x, y in pairs_within(group_ends([comp, lo, hi]), side, lo == hi):
+                ok = surviving(sig, size, x, y, rule)
+                x, y = alike(sets, size, x[ok], y[ok], rule)
+                np.add.at(links, x, m[y])
+                np.add.at(links, y, m[x])
+                label = roots(label, x, y)
+            at = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cid[at], cid[label[at]], links[at])], names=["cid", "root", "links"])
 
     return full.mapInArrow(run, "cid long, root long, links long")
 
 
-def linked(cid: np.ndarray, block: np.ndarray, m: np.ndarray, own: bool, others: pa.ChunkedArray, sets: pa.ChunkedArray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cid, root, links) of the linked members among two blocks, or one with itself."""
-    shingles = [np.frombuffer(s.as_py(), np.uint64) for s in sets]
-    size = np.array([len(s) for s in shingles])
-    xs, ys = [], []
-    for i, ids in enumerate(others):
-        if not ids.is_valid:
-            continue
-        want = np.unique(np.asarray(ids.values.to_numpy()))
-        at = np.searchsorted(cid, want)
-        at = np.minimum(at, len(cid) - 1)
-        at = at[cid[at] == want]
-        if not own:
-            at = at[block[at] != block[i]]
-        if not len(at):
-            continue
-        flat = np.concatenate([shingles[j] for j in at])
-        mine = shingles[i]
+def alike(sets: list[np.ndarray], size: np.ndarray, x: np.ndarray, y: np.ndarray, rule: Alike) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sets are similar enough, exactly; x must be in runs."""
+    least = Fraction(str(rule.similarity))
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else []
+    keep = []
+    for a, z in zip(begin, [*begin[1:], len(x)], strict=True):
+        mine, at = sets[x[a]], y[a:z]
+        flat = np.concatenate([sets[j] for j in at])
         place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        hit = mine[place] == flat
-        begin = np.concatenate([[0], np.cumsum(size[at])[:-1]])
-        both = np.add.reduceat(hit.astype(np.int64), begin)
+        both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[at])[:-1]]))
         # as whole numbers, so that a pair right at the threshold is not lost to rounding
-        ok = both * 1000 >= round(threshold * 1000) * (size[at] + len(mine) - both)
-        xs.append(np.full(ok.sum(), i))
-        ys.append(at[ok])
-    if not xs:
-        return (np.empty(0, np.int64),) * 3
-    x, y = np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
-    links = np.zeros(len(cid), np.int64)
-    np.add.at(links, x, m[y])
-    np.add.at(links, y, m[x])
-    at = np.flatnonzero(links)
-    return cid[at], cid[roots(len(cid), x, y)[at]], links[at]
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: its class, its group of copies, and its number of links.
+        keep.append(both * least.denominator >= least.numerator * (size[at] + len(mine) - both))
+    ok = np.concatenate(keep) if keep else np.empty(0, bool)
+    return x[ok], y[ok]
 
-    Two rows are linked when the sets of their five-word runs (lower-case
-    ``\\w+`` words) have a Jaccard similarity of 0.8 or more; a text of one to
-    four words is one run. ``set_id`` is the smallest doc_id with the same
-    set, ``class_id`` the smallest doc_id that chains of links reach, and
-    ``n_links`` the number of other rows linked, copies included, though
-    copies are never expanded. Null and empty texts, and such without words,
-    are linked with nothing and are classes of their own. Repeated rows are
-    copies. An empty table gives an empty one. Other columns are not read.
+
+def classes(docs: DataFrame, rule: Alike = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """(rid, doc_id, tid, group, class_id, set_id, n_links) for each row, and the tables that it is read from.
+
+    ``group`` tells classes apart even where ids repeat or are null.
     """
-    signed = written(signatures(docs, id_col, text_col), "signatures")
+    signed = written(signatures(docs, rule, id_col, text_col), "signatures")
     facts = [F.any_value(c).alias(c) for c in ("n", "sig", "bands")]
     reps = written(signed.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("class_doc"), F.count("*").alias("m"), *facts), "sets")
-    found = written(candidates(reps), "candidates")
-    links = written(verified(docs, reps, found, id_col, text_col), "links")
+    found = written(candidates(reps, rule), "candidates")
+    links = written(verified(docs, reps, found, rule, id_col, text_col), "links")
     comp = components(links, "cid", "root").withColumnRenamed("id", "cid")
     # only linked texts meet by component, so that the many others do not meet in one task as nulls
     named = written(comp.join(reps.select("cid", "class_doc"), "cid"), "named")
     low = written(named.groupBy("comp").agg(F.min("class_doc").alias("low")), "low")
-    lows = named.hint("merge").join(low.hint("merge"), "comp").select("cid", "low")
+    lows = named.select("cid", "comp").hint("merge").join(low.hint("merge"), "comp")
     total = links.groupBy("cid").agg(F.sum("links").alias("links"))
     sets = reps.select("digest", "cid", "class_doc", "m").join(lows, "cid", "left").join(total, "cid", "left")
-    out = signed.select("doc_id", "digest").hint("merge").join(sets.select("digest", "class_doc", "m", "low", "links").hint("merge"), "digest")
-    return out.select(
+    sets = written(sets, "classes")
+    remove(found, comp, named, low, links, reps)
+    out = signed.select("rid", "doc_id", "tid", "digest").hint("merge").join(sets.hint("merge"), "digest")
+    out = out.select(
+        "rid",
         "doc_id",
-        F.coalesce("low", "class_doc").alias("class_id"),
+        "tid",
+        F.coalesce("comp", "cid").alias("group"),
+        F.when(F.col("comp").isNull(), F.col("class_doc")).otherwise(F.col("low")).alias("class_id"),
         F.col("class_doc").alias("set_id"),
         (F.coalesce("links", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"),
     )
+    return out, [signed, sets]
+
+
+def ngram_join(docs: DataFrame, rule: Alike = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: its class, its group of copies, and its number of links.
+
+    Two rows are linked when the sets of their five-word runs (lower-case
+    ``\\w+`` words, of whole texts) have a Jaccard similarity of 0.8 or more;
+    a text of one to four words is one run. ``set_id`` is the smallest doc_id
+    with the same set, ``class_id`` the smallest doc_id that chains of links
+    reach, and ``n_links`` the number of other rows linked, copies included,
+    though copies are never expanded. Null and empty texts, and such without
+    words, are linked with nothing and are classes of their own. Repeated rows
+    are copies. An empty table gives an empty one. Other columns are not read.
+    """
+    out, _ = classes(docs, rule, id_col, text_col)
+    return out.select("doc_id", "class_id", "set_id", "n_links")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each class, columns as they are.
+def keep_one_of_each(docs: DataFrame, rule: Alike = NEAR) -> DataFrame:
+    """One row of each class, the one with the smallest doc_id; columns as they are, whatever their names.
 
-    Rows are dropped by id. If ids repeat or are null, only rows whose ids
-    come once in their class can be told apart; of those that repeat one stays.
+    Null ids come last; of equal ids any may stay. Classes whose ids repeat in
+    other classes keep their row all the same. Rows that repeat in id and text
+    are copies, of which any may stay. An empty table gives an empty one.
     """
-    out = written(ngram_join(docs).select("doc_id", "class_id"), "classes")
-    drop = out.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    if out.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    every, held = classes(docs, rule)
+    every = written(every.select("rid", "doc_id", "tid", "group"), "rows")
+    remove(*held)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "tid")).alias("top")
+    kept = written(every.groupBy("group").agg(first).select("top.doc_id", "top.tid"), "kept")
+    plain = every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0
+    remove(every)
+    if plain:
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
+    tid, told, number = spare(docs.columns, "tid", "told", "number")
+    kept = kept.select(F.col("tid").alias(told), F.col("doc_id").alias(number))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(tid) == F.col(told))
+    key = docs.withColumn(tid, text_id(F.col("text")))
+    return key.join(kept, on, "left_semi").dropDuplicates(["doc_id", tid]).select(*columns_of(docs))
