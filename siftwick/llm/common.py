@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
-from ..storage import counted, new_path, passing, remove, shared_dir, spare, written
+from ..storage import counted, file_system, new_path, passing, remove, shared_dir, spare, written
 
-__all__ = ["SPACE", "ascii_lower", "counted", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "spare", "spread", "tables", "unit_hash", "written"]
+__all__ = ["SPACE", "ascii_lower", "columns_of", "counted", "file_system", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "spare", "spread", "tables", "unit_hash", "written"]
 
 # ASCII white space that separates words, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"
@@ -36,6 +36,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES[1])
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever the names are made of."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers started from now on find this package as the driver does
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -5,54 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, license_scan, mixing, ngram_join, packing, quality, sharding, toxicity, warc
-from .common import tables
+from .common import spread, tables
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(tables(spark, sf_dir, "documents"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(tables(spark, sf_dir, "documents"))
+    return quality.quality_rules(documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(tables(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(tables(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_id(tables(spark, sf_dir, "documents"))
+    return langid.language_id(documents(spark, sf_dir))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(tables(spark, sf_dir, "pages"))
+    return warc.round_trip(spread(tables(spark, sf_dir, "pages")), seconds=F.col("page_id"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.toxicity(docs, toxicity.fit(docs, tables(spark, sf_dir, "labels")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+    return mixing.mix(documents(spark, sf_dir), tables(spark, sf_dir, "labels"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tables(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(tables(spark, sf_dir, "documents"))
+    return license_scan.license_scan(documents(spark, sf_dir))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(tables(spark, sf_dir, "documents"))
+    return sharding.shard_rows(documents(spark, sf_dir))
+
+
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.lines_scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"license_lines": license_lines}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.EXACT_SQL,
         "op5_warc": warc.ROUND_TRIP_SQL,
         "op9_license_scan": license_scan.license_sql(),
+        "license_lines": license_scan.lines_sql(),
     }
