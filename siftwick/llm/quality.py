@@ -47,47 +47,42 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Words are runs of anything but ASCII white space, over the whole text; a
     null text counts as empty. ``n_repeat_words`` marks the positions inside
-    3-word windows that come twice or more: windows are hashed with their
-    position, sorted, and compared with their neighbours, which is n log n and
-    stays in one row, so no text is ever split over a shuffle.
+    3-word windows that come twice or more: only in texts where fewer hashes
+    of windows differ than there are windows, hashes are sorted with their
+    positions and compared with their neighbours, which is n log n and stays
+    in one row, so no text is ever split over a shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-    base = df.select(F.col(id_col).alias("doc_id"), text.alias("__t"), words.alias("__w"))
-    # two steps, so that neither the words nor the windows are computed again
-    win = F.when(
-        F.size("__w") >= 3,
-        F.sort_array(
-            F.transform(
-                F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 2, F.lit(0))),
-                lambda w, i: F.struct(F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i")),
-            )
-        ),
-    )
-    lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    stop = F.filter("__w", lambda w: F.lower(w).isin(*ALL_STOP_WORDS))
+    words = F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+    base = df.select(F.col(id_col).alias("doc_id"), text.alias("t"), words.alias("w"))
+    # steps, so that neither the words nor the windows are computed again
+    win = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2)))
+    base = base.select("doc_id", "t", "w", win.alias("h"))
+    again = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
+    stop = F.filter("w", lambda w: F.lower(w).isin(*ALL_STOP_WORDS))
     counts = F.struct(
         "doc_id",
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        lines.alias("__l"),
-        win.alias("__s"),
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        lines.alias("l"),
+        F.when(F.size(F.array_distinct("h")) < F.size("h"), again).alias("s"),
         F.size(stop).cast("long").alias("n_stop_words"),
-        F.size(F.filter("__w", lambda w: F.length(w) > 20)).cast("long").alias("n_long_words"),
+        F.size(F.filter("w", lambda w: F.length(w) > 20)).cast("long").alias("n_long_words"),
     )
     # a generator, since a caller's filter would else be pushed below and carry the sort into its lambdas
-    step = base.select(F.explode(F.array(counts)).alias("__c")).select("__c.*")
-    same = F.filter("__s", lambda x, i: (F.get("__s", i - 1)["h"] == x["h"]) | (F.get("__s", i + 1)["h"] == x["h"]))
+    step = base.select(F.explode(F.array(counts)).alias("c")).select("c.*")
+    same = F.filter("s", lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"]))
     covered = F.flatten(F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     return step.select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("__s").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("s").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long").alias("n_repeat_words"),
+        F.size("l").cast("long").alias("n_lines"),
         "n_stop_words",
         "n_long_words",
     )
@@ -122,9 +117,10 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
 def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with its counts, ``base_failed``, ``kept`` and the rules it broke.
 
-    Null texts count as empty and fail the base rule; repeated rows each get
-    their own verdict; an empty table gives an empty table; other columns are
-    not read, so their names may be anything.
+    Null texts count as empty and fail the base rule; texts of any length are
+    measured whole; repeated rows each get their own verdict; a ratio right at
+    its threshold passes; an empty table gives an empty table; other columns
+    are not read, so their names may be anything.
     """
     verdict, broken = compiled(rules)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
