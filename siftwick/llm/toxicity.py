@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ SLOTS = 1 << 21
 RATIOS_SENT = 4_000_000
 #: Words whose ratios are sent to the texts even then: those in the most texts.
 COMMON_WORDS = 100_000
-#: Words of a passage. A text is as toxic as its most toxic passage.
-PASSAGE = 3
-#: Bound of the labelled rows on which the score's two weights are fitted.
+#: Toxic words are few among many: a text is judged by its most toxic words, so many and such a share of all.
+WORST, SHARE = 3, 0.02
+#: Bound of the labelled rows on which the score's three weights are fitted.
 CALIBRATION_ROWS = 4_000
 #: Labels (an id and a number each) that a broadcast may hold.
 LABELS_SENT = 2_000_000
@@ -173,15 +174,15 @@ def slots(ratios: DataFrame, n: int = SLOTS) -> Ratios:
 
 @dataclass
 class Model:
-    """Ratios, sent out or in a table (key, value) if they are too many, and the two weights of a score.
+    """Ratios, sent out or in a table (key, value) if they are too many, and the weights of a score.
 
-    The weights given here hold where none can be fitted: one nat a character.
+    The weights given here hold where none can be fitted: five nats a word.
     """
 
     sent: Broadcast | None = None
     table: DataFrame | None = None
-    slope: float = 4.0
-    base: float = -4.0
+    slopes: tuple[float, float] = (1.0, 0.0)
+    base: float = -5.0
 
     def release(self) -> None:
         """Free what tasks hold; to be called once all scores are written."""
@@ -212,39 +213,46 @@ def word_ratios(ratios: Ratios, words: list[str]) -> np.ndarray:
     return np.stack([np.add.reduceat(llr, begin), size], axis=1)
 
 
+def worst(n: int) -> int:
+    """How many words of n the second number is of."""
+    return max(WORST, ceil(SHARE * n))
+
+
 class Scorer:
-    """Texts -> evidence, with the log ratios of words kept as long as they fit."""
+    """Texts -> log ratios of their most toxic words, with those of words kept as long as they fit."""
 
     def __init__(self, look_up):
-        self.look_up, self.row, self.table = look_up, {}, np.empty((0, 2))
+        self.look_up, self.row, self.table = look_up, {}, np.empty(0)
 
-    def evidence(self, text: str | None) -> float:
-        """The largest log-likelihood ratio, by the number of events, of PASSAGE words in a row; 0 without words."""
+    def top(self, text: str | None) -> tuple[int, np.ndarray]:
+        """The number of words, and the largest ratios, as many as are asked for; each time that a word stands there counts."""
         words = words_of(text) if text else []
         if not words:
-            return 0.0
+            return 0, np.empty(0)
         if new := set(words).difference(self.row):
             if len(self.row) + len(new) > CACHED_WORDS:
-                self.row, new, self.table = {}, set(words), np.empty((0, 2))
+                self.row, new, self.table = {}, set(words), np.empty(0)
             self._grow(sorted(new))
         got = self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
-        n = min(PASSAGE, len(got))
-        both = sum(got[i : len(got) - n + 1 + i] for i in range(n))
-        return float((both[:, 0] / both[:, 1]).max())
+        k = worst(len(words))
+        if len(got) > k:
+            got = np.partition(got, len(got) - k)[-k:]
+        return len(words), np.sort(got)[::-1]
 
     def _grow(self, fresh: list[str]) -> None:
         used = len(self.row)
         if used + len(fresh) > len(self.table):
-            self.table = np.concatenate([self.table[:used], np.empty((max(len(fresh), 4096, used), 2))])
+            self.table = np.concatenate([self.table[:used], np.empty(max(len(fresh), 4096, used))])
         self.table[used : used + len(fresh)] = self.look_up(fresh)
         self.row.update(zip(fresh, range(used, used + len(fresh)), strict=True))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and base of a logistic curve by Newton's method; a ridge on the slope."""
-    shift, scale = x.mean(), x.std() + 1e-9
-    x = np.stack([(x - shift) / scale, np.ones(len(x))], axis=1)
-    w, pull = np.zeros(2), np.array([ridge, 1e-3])
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Slopes and base of a logistic curve by Newton's method; a ridge on the slopes."""
+    shift, scale = x.mean(0), x.std(0) + 1e-9
+    x = np.concatenate([(x - shift) / scale, np.ones((len(x), 1))], axis=1)
+    w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    pull[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
@@ -252,7 +260,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * shift / scale)
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * shift / scale).sum())
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
@@ -267,7 +275,7 @@ def labelled_texts(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Counts cover every labelled row outside the held-out fold but a bounded sample of another, on which the score's two weights are fitted.
+    """Counts cover every labelled row outside the held-out fold but a bounded sample of another, on which the score's three weights are fitted.
 
     None if no text is labelled.
     """
@@ -289,17 +297,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     else:
         model = Model(table=ratios)
     pairs = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")
-    # a number for each row of the sample comes to the driver
+    # two numbers for each row of the sample come to the driver
     got = scored(pairs, model, "toxic").select("x", F.col("toxic").cast("double").alias("y")).toArrow()
-    x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
+    x, y = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, 2), got.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
-        model.slope, model.base = logistic(x, y)
+        slopes, model.base = logistic(x, y)
+        model.slopes = (float(slopes[0]), float(slopes[1]))
     remove(known, shown)
     return model
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, the kept columns and the evidence ``x`` of each row.
+    """doc_id, the kept columns and the evidence ``x`` of each row: the mean log ratio of its WORST most toxic words, and of the SHARE of its words that are most toxic.
 
     A model in memory goes to the texts. Of one in a table, the ratios of the
     words that stand in the most texts do, COMMON_WORDS at most; the others
@@ -307,32 +316,36 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     most one of COMMON_WORDS of all pairs of a word and a text.
     """
     small_batches(docs.sparkSession)
-    if model.table is None:
-        shared = model.sent
+    if model.table is not None:
+        return _joined(docs, model.table, keep)
+    shared = model.sent
 
-        def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            scorer = Scorer(lambda words: word_ratios(shared.value, words))
-            for texts in arrays:
-                yield pa.array([scorer.evidence(t.as_py()) for t in texts], pa.float64())
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(lambda words: word_ratios(shared.value, words)[:, 0])
+        for texts in arrays:
+            rows = []
+            for t in texts:
+                n, top = scorer.top(t.as_py())
+                rows.append([float(top[:WORST].sum()) / WORST, float(top.sum()) / worst(n)])
+            yield pa.array(rows, pa.list_(pa.float64()))
 
-        return docs.select("doc_id", *keep, F.arrow_udf(run, "double")(F.col("text")).alias("x"))
-    return _joined(docs, model.table, keep)
+    return docs.select("doc_id", *keep, F.arrow_udf(run, "array<double>")(F.col("text")).alias("x"))
 
 
-def _distinct_words(texts: DataFrame, common: dict[str, tuple[float, int]]) -> DataFrame:
-    """(rid, w) for each distinct word of each text but the common ones."""
+def _words(texts: DataFrame) -> DataFrame:
+    """(rid, w, n) for each distinct word of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = sorted(set(words_of(text.as_py() or "")).difference(common))
-                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(words), pa.int64()), pa.array(words, pa.string())], names=["rid", "w"])
+                words = Counter(words_of(text.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int32())], names=["rid", "w", "n"])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, w string")
+    return texts.select("rid", "text").mapInArrow(run, "rid long, w string, n int")
 
 
 def _table_ratios(words: DataFrame, table: DataFrame) -> DataFrame:
-    """(w, llr, n) of distinct words from a table of ratios: an n-gram's own, else its context's, else 0."""
+    """(w, llr) of distinct words from a table of ratios: an n-gram's own, else its context's, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,49 +361,56 @@ def _table_ratios(words: DataFrame, table: DataFrame) -> DataFrame:
     # only what is not found looks for its context; both sides of that join are without the rest
     seen, new = found.where("own IS NOT NULL").select("w", F.col("own").alias("v")), found.where("own IS NULL").join(back, "context", "left")
     every = seen.unionByName(new.select("w", F.coalesce("back", F.lit(0.0)).alias("v")))
-    return every.groupBy("w").agg(F.sum(F.col("v").cast("float").cast("double")).alias("llr"), F.count("*").alias("n"))
+    return every.groupBy("w").agg(F.sum(F.col("v").cast("float").cast("double")).alias("llr"))
 
 
 def _joined(docs: DataFrame, table: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    texts = written(docs.select("doc_id", *keep, F.monotonically_increasing_id().alias("rid"), "text"), "texts")
-    words = written(_distinct_words(texts, {}), "words")
+    # written, so that a row has one number wherever it is read
+    texts = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *keep, "text"), "texts")
+    words = written(_words(texts), "words")
     spread_words = written(words.groupBy("w").agg(F.count("*").alias("df")), "spread")
-    top = _table_ratios(spread_words.orderBy(F.desc("df"), "w").limit(COMMON_WORDS).select("w"), table)
-    common = {r["w"]: (r["llr"], r["n"]) for r in top.collect()}  # COMMON_WORDS at most
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    few = docs.sparkSession.createDataFrame([(w,) for w in common], "w string")
-    rare = words.join(F.broadcast(few), "w", "left_anti")
-    values = _table_ratios(spread_words.join(F.broadcast(few), "w", "left_anti").select("w"), table)
-    # a row for each text, which holds its own words
-    own = rare.join(values, "w").groupBy("rid").agg(F.collect_list("w").alias("ws"), F.collect_list("llr").alias("vs"), F.collect_list(F.col("n").cast("double")).alias("ns"))
-
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for text, ws, vs, ns in batches:
-            out = []
-            for t, w, v, n in zip(text, ws, vs, ns, strict=True):
-                held = shared.value | (dict(zip(w.as_py(), zip(v.as_py(), n.as_py(), strict=True), strict=True)) if w.is_valid else {})
-                out.append(Scorer(lambda fresh, held=held: np.array([held[x] for x in fresh])).evidence(t.as_py()))
-            yield pa.array(out, pa.float64())
-
-    full = texts.join(own, "rid", "left")
-    return full.select("doc_id", *keep, F.arrow_udf(run, "double")("text", "ws", "vs", "ns").alias("x"))
+    common = spread_words.orderBy(F.desc("df"), "w").limit(COMMON_WORDS).select("w")
+    common = written(_table_ratios(common, table), "common")  # COMMON_WORDS at most
+    rare = written(_table_ratios(spread_words.join(F.broadcast(common), "w", "left_anti").select("w"), table), "rare")
+    near = words.join(F.broadcast(common), "w")
+    far = words.join(F.broadcast(common), "w", "left_anti").join(rare, "w")
+    # a row for each text, of which tasks send the most toxic words only
+    value = F.struct("llr", "n")
+    rows = near.select("rid", value.alias("v"), "n").unionByName(far.select("rid", value.alias("v"), "n"))
+    rows = rows.groupBy("rid").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list("v"), asc=False).alias("vs"))
+    k = F.greatest(F.lit(WORST).cast("long"), F.ceil(F.col("all") * SHARE))
+
+    def mean(of: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0.0).alias("sum"))
+        step = F.aggregate("vs", none, lambda a, v: _take(a, v, of))
+        return step["sum"] / of
+
+    x = F.array(mean(F.lit(WORST).cast("long")), mean(k))
+    rows = rows.select("rid", x.alias("x"))
+    return texts.drop("text").join(rows, "rid", "left").select("doc_id", *keep, F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0))).alias("x"))
+
+
+def _take(a: Column, v: Column, most: Column) -> Column:
+    """One more word's ratio, as often as it stands there and as there is room."""
+    n = F.least(v["n"].cast("long"), most - a["used"])
+    return F.struct((a["used"] + n).alias("used"), (a["sum"] + n * v["llr"]).alias("sum"))
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per input row: ``score`` in 0 to 1 and ``predicted``, 1 from 0.5 up.
 
-    The score is a logistic curve of one number: how much likelier, by the
-    number of characters, the most toxic passage of the text is under the
-    toxic model than under the ordinary one. Texts and words of any length are
-    read to their end. Null and empty texts have no words and get the score of
-    no evidence; without any labelled row all scores are 0. Repeated rows are
-    each scored; ties of passages do not matter; an empty table gives an empty
-    one; other columns than id and text are not read.
+    The score is a logistic curve of how much likelier, by the number of words,
+    the most toxic words of the text are under the toxic model than under the
+    ordinary one. Texts and words of any length are read to their end. Null and
+    empty texts have no words and get the score of no evidence; without any
+    labelled row all scores are 0. Repeated rows are each scored; ties of words
+    do not matter; an empty table gives an empty one; other columns than id and
+    text are not read.
     """
     if model is None:
         out = docs.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        z = F.lit(model.base) + F.col("x") * F.lit(model.slope)
+        z = F.lit(model.base) + F.col("x")[0] * F.lit(model.slopes[0]) + F.col("x")[1] * F.lit(model.slopes[1])
         out = scored(docs, model).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),

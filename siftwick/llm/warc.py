@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, passing, remove, small_batches, written
 
-#: A file ends after so many rows, each of so many bytes or one record.
-FILE_ROWS, ROW_BYTES = 32, 1 << 20
+#: A file ends after so many rows, each of so many packed bytes or one record.
+FILE = (32, 1 << 20)
 #: Bytes that are unpacked at a time, and the longest header line.
 STEP, LONGEST_LINE = 16 << 10, 1 << 20
 LEAST_REVISIT = 100
@@ -111,30 +111,31 @@ class Reader:
         return self.take(found + len(end) - self.at)[: -len(end)]
 
 
-def in_rows(records: Iterator[bytes], head: Callable[[int], bytes]) -> Iterator[pa.RecordBatch]:
+def in_rows(records: Iterator[bytes], head: Callable[[int], bytes], file: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Members of records as rows for ``write_rows``; each file begins with a head."""
+    rows, row_bytes = file
     held: list[bytes] = []
     size = n = 0
     for r in records:
-        if not held and n % FILE_ROWS == 0:
+        if not held and n % rows == 0:
             held.append(member(head(n)))
         held.append(member(r))
         size += len(held[-1])
-        if size >= ROW_BYTES:
+        if size >= row_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
             held, size, n = [], 0, n + 1
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
 
-def write_rows(values: DataFrame, path: str) -> None:
+def write_rows(values: DataFrame, path: str, file: tuple[int, int]) -> None:
     """Rows of members as files; Spark's text writer puts out their bytes and an empty member after each."""
     out = values.select(F.col("value").cast("string").alias("value")).write.mode("append")
-    out.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    out.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", file[0]).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file below a path, packed as it is: a file of about FILE_ROWS * ROW_BYTES."""
+    """(path, content) of every file below a path, packed as it is: of the files made here about as many bytes as FILE says."""
     small_batches(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -203,7 +204,7 @@ def arc_date(seconds: int | None) -> str:
         return NO_DATE
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, seconds: Column | None = None) -> None:
+def write_arc(pages: DataFrame, path: str, version: int = 1, seconds: Column | None = None, file: tuple[int, int] = FILE) -> None:
     """One HTTP response per page, captured at a time in seconds of the epoch; every file starts with its filedesc record."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -215,12 +216,12 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, seconds: Column | N
                 yield arc_head(version, url.as_py() or "", "0.0.0.0", arc_date(when), "text/html", len(block)) + block + b"\n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_rows(records(batches), lambda n: filedesc(version, f"part-{n}.arc") + b"\n")
+        return in_rows(records(batches), lambda n: filedesc(version, f"part-{n}.arc") + b"\n", file)
 
     small_batches(pages.sparkSession)
     when = F.lit(None) if seconds is None else seconds
     cols = pages.select(F.col("page_id").cast("long").alias("page_id"), when.cast("long").alias("seconds"), F.col("url"), F.col("html"))
-    write_rows(cols.mapInArrow(run, "value binary"), path)
+    write_rows(cols.mapInArrow(run, "value binary"), path, file)
 
 
 def http_parts(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -317,7 +318,7 @@ def converted(r: ArcRecord, path: str, mark: dict | None = None) -> bytes:
     return warc_record(out, head)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) -> None:
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT, file: tuple[int, int] = FILE) -> None:
     """Convert every ARC file below a path, of either version, packed or plain.
 
     A first pass over the archives finds equal payloads; the second writes.
@@ -347,10 +348,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
             info.offset = at[1]
             return converted(info, at[0]) + b"\r\n\r\n"
 
-        return in_rows(records(batches, at), head)
+        return in_rows(records(batches, at), head, file)
 
     joined = files.join(F.broadcast(marks) if n <= MARKS_SENT else marks, "path", "left").select("path", "content", "marks")
-    write_rows(joined.mapInArrow(run, "value binary"), warc_path)
+    write_rows(joined.mapInArrow(run, "value binary"), warc_path, file)
     remove(digests, marks)
 
 
