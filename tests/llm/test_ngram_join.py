@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from conftest import untouched
 from siftwick.llm import ngram_join as nj
 
 
@@ -76,21 +77,63 @@ def test_odd_rows(odd, none):
     assert rows[3]["class_id"] == 3 and rows[3]["n_links"] == 3
     assert rows[6]["class_id"] == 5 and rows[6]["n_links"] == 1
     assert nj.ngram_join(none).count() == 0
-    kept = nj.keep_one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert {1, 2, 3, 5, 7, 8} <= {r["doc_id"] for r in kept.collect()} and not {4, 6} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_stage(spark, clashing, none):
+    kept = nj.keep_one_of_each(clashing)
+    untouched(kept, clashing)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5, 7, 8]
+    assert nj.keep_one_of_each(none).count() == 0
+    # ids that repeat over unlike texts, and null ones, keep a row of each class
+    a, b, c = ("one two three four five six", "red blue green white black", "la le li lo lu")
+    rows = [(5, a), (3, a + "."), (5, b), (None, c), (None, c + "!"), (None, b), (7, a), (5, a)]
+    got = [tuple(r) for r in nj.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) in (sorted(map(str, [(3, a + "."), (5, b), (None, c)])), sorted(map(str, [(3, a + "."), (5, b), (None, c + "!")])))
+
+
+def test_no_pair_is_written(spark, crowd, monkeypatch):
+    """A group's candidates are a row for each text and bucket, and its sets are moved once a block."""
+    monkeypatch.setattr(nj, "SPREAD_SHINGLES", 3_000)
+    rows, write = {}, nj.written
+
+    def seen(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nj, "written", seen)
+    df = spark.createDataFrame(crowd, "doc_id long, text string")
+    assert got(df) == brute(crowd)
+    assert rows["candidates"] <= 300 * nj.NEAR.bands and rows["links"] <= 300 * nj.SPREAD_BLOCKS
+
+
+def test_other_rules(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(60)] = f"n{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    rule = nj.Alike(words=2, similarity=0.6, bands=40, rows=3)
+    assert rule.missed(0.6) < 1e-4
+    sets = [frozenset(zip(t.split(), t.split()[1:], strict=False)) for _, t in rows]
+    want = [sum(5 * len(a & b) >= 3 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    found = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert [r["n_links"] for r in sorted(found)] == want
 
 
 def test_pruning_rule():
     least = nj.least_matches()
-    assert len(least) == nj.HASHES // nj.STRIDE and list(least) == sorted(least)
+    assert len(least) == nj.NEAR.hashes // nj.NEAR.stride and list(least) == sorted(least)
     # a pair at the threshold is dropped about as seldom as the tolerance says
     rng = np.random.default_rng(1)
-    hits = rng.random((200_000, nj.HASHES)) < 0.8
-    seen = hits.cumsum(1)[:, nj.STRIDE - 1 :: nj.STRIDE]
+    hits = rng.random((200_000, nj.NEAR.hashes)) < 0.8
+    seen = hits.cumsum(1)[:, nj.NEAR.stride - 1 :: nj.NEAR.stride]
     assert (seen < np.array(least)).any(1).mean() < 1e-4
     # and unlike pairs seldom get through
-    assert ((rng.random((20_000, nj.HASHES)) < 0.3).cumsum(1)[:, nj.STRIDE - 1 :: nj.STRIDE] >= np.array(least)).all(1).mean() < 0.01
+    assert ((rng.random((20_000, nj.NEAR.hashes)) < 0.3).cumsum(1)[:, nj.NEAR.stride - 1 :: nj.NEAR.stride] >= np.array(least)).all(1).mean() < 0.01
 
 
 def test_shingles_are_those_of_plain_python():

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftwick.llm import toxicity as tox
 
@@ -40,11 +41,10 @@ def kneser_ney(texts, discount=0.75):
 def test_ratios_are_those_of_the_formula(spark):
     texts = [("you fool fool", 1), ("a foolish fox", 1), ("the fox and the food", 0), ("you are kind, Kind", 0), (None, 0)]
     grams = tox.gram_counts(spark.createDataFrame(texts, "text string, toxic int"))
-    model = tox.slots(tox.log_ratios(grams), 1 << 20)
+    ratios = tox.slots(tox.log_ratios(grams), 1 << 20)
     want = kneser_ney([(t or "", y) for t, y in texts])
-    scorer = tox.Scorer(model)
     for w in ("fool", "the", "kind", "fox"):
-        got, size = scorer.words([w])[0]
+        got, size = tox.word_ratios(ratios, [w])[0]
         assert size == len(w) + 1
         assert got == pytest.approx(sum(want[g] for g in tox.events(w)), abs=1e-4)
 
@@ -86,13 +86,45 @@ def test_counts_leave_out_only_the_calibration_sample(spark, monkeypatch):
 def test_ratios_do_not_meet_in_slots(spark):
     texts = [("you fool fool", 1), ("a foolish fox", 1), ("the fox and the food", 0), ("you are kind, Kind", 0)]
     ratios = tox.log_ratios(tox.gram_counts(spark.createDataFrame(texts, "text string, toxic int")))
-    want, scorer = kneser_ney(texts), tox.Scorer(tox.slots(ratios, 16))
+    want, held = kneser_ney(texts), tox.slots(ratios, 16)
     for w in ("fool", "the", "kind", "fox"):
-        assert scorer.words([w])[0][0] == pytest.approx(sum(want[g] for g in tox.events(w)), abs=1e-4)
-    assert len(scorer.model.key) == ratios.count()
+        assert tox.word_ratios(held, [w])[0][0] == pytest.approx(sum(want[g] for g in tox.events(w)), abs=1e-4)
+    assert len(held.key) == ratios.count()
     # a word of which nothing was seen but the start has the ratio of that context alone
     alone = ratios.where("key = xxhash64('^\x00')").first()["value"]
-    assert scorer.words(["zzz"])[0][0] == pytest.approx(alone, abs=1e-4)
+    assert tox.word_ratios(held, ["zzz"])[0][0] == pytest.approx(alone, abs=1e-4)
+
+
+def test_scores_against_plain_python(docs, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = tox.fit(docs, labels)
+    held = model.sent.value
+    got = {r["doc_id"]: r["score"] for r in tox.toxicity(docs, model).collect()}
+    for i, text in docs.select("doc_id", "text").collect():
+        ratio = sorted((tox.word_ratios(held, [w])[0][0] for w in tox.words_of(text or "")), reverse=True)
+        k = max(3, math.ceil(0.02 * len(ratio)))
+        z = model.base + model.slopes[0] * sum(ratio[:3]) / 3 + model.slopes[1] * sum(ratio[:k]) / k
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    model.release()
+
+
+def test_joined_ratios_give_the_same_scores(docs, spark, odd, monkeypatch):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = sorted(str(tuple(r)) for r in tox.toxicity(both, tox.fit(docs, labels)).select("doc_id", "predicted", F.round("score", 9)).collect())
+    monkeypatch.setattr(tox, "RATIOS_SENT", 0)
+    monkeypatch.setattr(tox, "COMMON_WORDS", 50)
+    model = tox.fit(docs, labels)
+    assert model.sent is None
+    assert sorted(str(tuple(r)) for r in tox.toxicity(both, model).select("doc_id", "predicted", F.round("score", 9)).collect()) == want
+
+
+def test_what_stands_late_in_a_word_counts(spark):
+    rows = [(i, "x" * 60 + ("idiot" if i % 2 else "lovely"), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in tox.toxicity(docs, tox.fit(docs, labels)).where("doc_id % 2 = 1").collect()} == {1}
+    assert {r["predicted"] for r in tox.toxicity(docs, tox.fit(docs, labels)).where("doc_id % 2 = 0").collect()} == {0}
 
 
 @pytest.mark.parametrize("n", [40, 41, 80, 81, 119, 1000])
