@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwick.llm import exact_dedup, langid, mixing, ngram_join, packing
-from siftwick.llm.common import tables, written
+from siftwick.llm.common import spread, tables, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, tables(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, tables(spark, sf_dir, "labels"), keep="clean")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each reads what the one before has written."""
-    docs = tables(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each reads what the one before has written.
+
+    Gives a row per piece of a packed document. Texts that are null, empty or
+    without a letter go at the first stage; of copies and near copies one stays,
+    also where ids are null or repeat; long texts are read whole; columns of any
+    name go through to packing. An empty table gives an empty one.
+    """
+    docs = spread(tables(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
