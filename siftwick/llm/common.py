@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower
 from ..storage import counted, file_system, new_path, passing, remove, shared_dir, spare, written
 
-__all__ = ["SPACE", "ascii_lower", "columns_of", "counted", "file_system", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "spare", "spread", "tables", "unit_hash", "written"]
+__all__ = ["SPACE", "ascii_lower", "by_ids", "columns_of", "counted", "file_system", "id_fold", "new_path", "passing", "remove", "shared_dir", "small_batches", "spare", "spread", "tables", "unit_hash", "written"]
 
 # ASCII white space that separates words, as a Java and RE2 class.
 SPACE = r"\x20\x09-\x0D"
@@ -41,6 +41,17 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
 
 
+#: Ids that a broadcast may hold.
+IDS_SENT = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is (left_semi) or is not (left_anti) in a written one-column table: up to IDS_SENT ids go to the rows, so that no texts are moved; above that both are shuffled."""
+    (name,) = ids.columns
+    few = ids.limit(IDS_SENT + 1).count() <= IDS_SENT
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long") == ids[name], how)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers started from now on find this package as the driver does
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import columns_of, remove, small_batches, spare, written
+from .common import by_ids, columns_of, remove, small_batches, spare, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
 #: Smaller groups are cut too, in up to so many blocks, so that tasks share them.
 SPREAD_SHINGLES, SPREAD_BLOCKS = 20_000, 16
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -316,10 +316,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, rule: Alike, id_col: str =
             digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("key")
-    ids = wanted.select(F.coalesce(F.col("class_doc").cast("string"), F.lit("-")).alias("key")).distinct()
-    texts = docs.select(key, F.col(text_col).alias("text")).join(ids, "key", "left_semi")
-    return texts.select("text").mapInArrow(run, "digest binary, shingles binary")
+    ids = written(wanted.select("class_doc").distinct(), "wanted")
+    texts = by_ids(docs, ids.where("class_doc IS NOT NULL"), "left_semi", id_col).select(F.col(text_col).alias("text"))
+    if ids.where("class_doc IS NULL").limit(1).count():  # classes without any id
+        texts = texts.unionByName(docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")))
+    return texts.mapInArrow(run, "digest binary, shingles binary")
 
 
 def verified(docs: DataFrame, reps: DataFrame, found: DataFrame, rule: Alike, id_col: str, text_col: str) -> DataFrame:
@@ -436,10 +437,10 @@ def keep_one_of_each(docs: DataFrame, rule: Alike = NEAR) -> DataFrame:
     remove(*held)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "tid")).alias("top")
     kept = written(every.groupBy("group").agg(first).select("top.doc_id", "top.tid"), "kept")
-    plain = every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0
-    remove(every)
-    if plain:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
+    if every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
+        drop = written(every.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("drop")), "drop")
+        remove(every, kept)
+        return by_ids(docs, drop, "left_anti").select(*columns_of(docs))
     tid, told, number = spare(docs.columns, "tid", "told", "number")
     kept = kept.select(F.col("tid").alias(told), F.col("doc_id").alias(number))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(tid) == F.col(told))
