@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, columns_of, file_system, new_path, remove, spare, written
+from .common import ascii_lower, by_ids, columns_of, file_system, new_path, remove, spare, written
 
 #: Batches in which a table meets the index.
 BATCHES = 2
@@ -139,18 +139,20 @@ def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever the names.
 
-    Whole rows are moved by id, which no group of copies can make hot. Rows
-    that repeat in both id and text count as one, null ids and texts included;
-    which of them stays is not defined. Ties of ids over different texts keep a
-    row each. An empty table gives an empty one.
+    The ids of dropped rows go to the texts while they are few; else whole rows
+    are moved by id, which no group of copies can make hot. Rows that repeat in
+    both id and text count as one, null ids and texts included; which of them
+    stays is not defined. Ties of ids over different texts keep a row each. An
+    empty table gives an empty one.
     """
-    kept = written(exact_dedup(docs, index).where("kept").select("doc_id", "text_sha256"), "kept")
-    unique = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0
+    every = written(exact_dedup(docs, index).select("doc_id", "text_sha256", "kept"), "verdicts")
+    unique = every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0
     if unique:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
+        drop = written(every.where("NOT kept").select(F.col("doc_id").alias("drop")), "drop")
+        return by_ids(docs, drop, "left_anti").select(*columns_of(docs))
     sha, told, number = spare(docs.columns, "sha", "told", "number")
     key = docs.withColumn(sha, text_digest(F.col("text")))
-    kept = kept.select(F.col("text_sha256").alias(told), F.col("doc_id").alias(number))
+    kept = every.where("kept").select(F.col("text_sha256").alias(told), F.col("doc_id").alias(number))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(sha) == F.col(told))
     return key.join(kept, on, "left_semi").dropDuplicates(["doc_id", sha]).select(*columns_of(docs))
 

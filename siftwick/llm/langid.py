@@ -27,7 +27,7 @@ LABELS_SENT = 10_000
 MAX_FEATURES = 60_000
 MAX_CHAINS, CHAINS_PER_LANGUAGE = 3_000, 20
 #: Numbers (a word has one for each language) that are held at a time.
-CACHED, BLOCK, FRESH = 480_000, 320_000, 400_000
+CACHED, BLOCK, FRESH = 360_000, 160_000, 200_000
 #: Up to so many languages messages are carried by products of matrices.
 FEW = 16
 
