@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SEVERITY_SCORE
@@ -28,23 +28,24 @@ def lower_text(s: str) -> str:
     return s.translate(_TO_LOWER)
 
 
+#: What stands between tokens: anything but letters, their vowel signs, digits, ``_`` and ``-``.
+BREAK = r"[^\p{IsAlphabetic}\p{N}_-]+"
+
+
 def tokenize(c: Column) -> Column:
     """Runs of letters, marks, digits, ``_`` and ``-``, with A-Z lowered, in order."""
-    return F.filter(F.split(ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}_-]+"), lambda x: x != "")
+    return F.array_remove(F.split(ascii_lower(c), BREAK), "")
 
 
 def tokens_of(s: str) -> list[str]:
-    """``tokenize`` of a literal."""
-    out, word = [], []
-    for ch in lower_text(s):
-        if ch.isalnum() or ch in "_-":
-            word.append(ch)
-        elif word:
-            out.append("".join(word))
-            word = []
-    if word:
-        out.append("".join(word))
-    return out
+    """``tokenize`` of a literal, by the same engine of regular expressions."""
+    pattern = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(BREAK)
+    return [t for t in pattern.split(lower_text(s)) if t]
+
+
+def is_space(ch: str) -> bool:
+    """Unicode's White_Space, which the four information separators are not of."""
+    return ch.isspace() and not "\x1c" <= ch <= "\x1f"
 
 
 def severity_score(c: Column) -> Column:

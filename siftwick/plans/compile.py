@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, floor_ms, tokenize, tokens_of
+from ..functions.text import ascii_lower, floor_ms, is_space, tokenize, tokens_of
 from ..schema import ALIASES, INDEXED
 from .querylang import And, Exact, Expr, Not, Or, Prefix, Term, TimeRange
 
@@ -83,7 +83,7 @@ class Compiler:
 
     def indexed(self, field: str | None, match: Exact | Prefix) -> Column:
         if isinstance(match, Exact) and field in TEXT_FIELDS:
-            if any(ch.isspace() for ch in match.value):
+            if any(map(is_space, match.value)):
                 return self.phrase(match.value)
             return self.token(match.value)
         if isinstance(match, Prefix) and field in (None, "text"):
@@ -100,14 +100,15 @@ class Compiler:
         return column.startswith(match.value)
 
     def phrase(self, value: str) -> Column:
-        words = sorted(set(tokens_of(value)))
+        words = tokens_of(value)
         if not words:
             return F.lit(False)
         message = F.col("message_lc") if self.prepared else ascii_lower(F.col("message"))
-        whole = F.lit(True)
-        for w in words:
-            whole &= self.token(w)
-        return whole & message.contains(value)
+        # the cheap test first, and the message is cut into tokens once
+        return message.contains(value) & self.every_token(words)
+
+    def every_token(self, words: list[str]) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, words)), self.tokens())) == 0
 
     def token(self, value: str) -> Column:
         return F.array_contains(self.tokens(), value)
@@ -118,7 +119,7 @@ class Compiler:
     def scanned(self, field: str | None, match: Exact | Prefix) -> Column:
         value = match.value
         if isinstance(match, Exact):
-            spaced = any(ch.isspace() for ch in value)
+            spaced = any(map(is_space, value))
             on_message = ascii_lower(F.col("message")).contains(value) if spaced else self.token(value)
         else:
             on_message = self.token_prefix(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from ..functions.text import lower_text, parse_rfc3339
+from ..functions.text import is_space, lower_text, parse_rfc3339
 
 SINGLE = {":": "colon", "(": "open", ")": "close", "[": "left", "]": "right"}
 KEYWORDS = {"AND": "and", "OR": "or", "NOT": "not", "TO": "to"}
@@ -91,7 +91,7 @@ def lex(query: str) -> list[Token]:
     i = 0
     while i < len(query):
         ch = query[i]
-        if ch.isspace():
+        if is_space(ch):
             i += 1
         elif ch in SINGLE:
             out.append(Token(SINGLE[ch], ch, starts[i]))
@@ -109,7 +109,7 @@ def lex(query: str) -> list[Token]:
             out.append(Token("quoted", "".join(value), starts[begin]))
         else:
             begin = i
-            while i < len(query) and not query[i].isspace() and query[i] not in SINGLE:
+            while i < len(query) and not is_space(query[i]) and query[i] not in SINGLE:
                 i += 1
             word = query[begin:i]
             out.append(Token(KEYWORDS.get(word.upper(), "word"), word, starts[begin]))
@@ -208,7 +208,7 @@ class _Parser:
 
 
 def parse_query(query: str) -> Expr:
-    if not query.strip():
+    if all(map(is_space, query)):
         raise QueryParseError(0, EMPTY)
     parser = _Parser(lex(query))
     tree = parser.disjunction()
