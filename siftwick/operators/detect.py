@@ -2,18 +2,23 @@
 
 Windows are closed, [t - W, t]. Events at one time enter by id, so a row sees
 earlier-or-equal (timestamp, id) only. Keys and values are case-sensitive, and
-no rule looks at the event type.
+no rule looks at the event type. Keys are cut by time, so that no task has all
+that a busy key ever did.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import epoch_seconds
 from ..schema import SEVERITY_SCORE
+from ..storage import written
 
 
 @dataclass(frozen=True)
@@ -57,15 +62,35 @@ def _first_per(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.struct("timestamp", "id")).alias("r")).select("r.*")
 
 
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _piece(seconds: int) -> Column:
+    """The number of the stretch of time, as long as the window, that an event is in."""
+    return F.floor(F.col("t") / max(1, int(seconds) * 1_000_000)).cast("long")
+
+
+def _pieces(rows: DataFrame, seconds: int) -> DataFrame:
+    """Each event in its piece of time (own) and in the next: a piece then has all that windows which end in it hold.
+
+    So a key that holds a third of all events is dealt to tasks by time.
+    """
+    rows = rows.withColumn("t", _micros(F.col("timestamp")))
+    rows = rows.withColumn("at", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.withColumns({"piece": _piece(seconds) + F.col("at"), "own": F.col("at") == 0}).drop("at")
+
+
 def brute_force(events: DataFrame, config: DetectorConfig | None = None) -> DataFrame:
     """The first time that a user has k failures in a window."""
     config = config or DetectorConfig()
     k = max(1, config.brute_force_failures)
     failed = events.where((F.col("outcome") == "failure") & F.col("user").isNotNull()).select("timestamp", "id", "user")
-    w = Window.partitionBy("user").orderBy("timestamp", "id")
-    last = failed.withColumn("begin", F.lag("timestamp", k - 1).over(w) if k > 1 else F.col("timestamp"))
+    w = Window.partitionBy("user", "piece").orderBy("timestamp", "id")
+    last = _pieces(failed, config.window_seconds)
+    last = last.withColumn("begin", F.lag("timestamp", k - 1).over(w) if k > 1 else F.col("timestamp"))
     last = last.withColumn("ids", F.collect_list("id").over(w.rowsBetween(1 - k, 0)))
-    hits = _first_per(last.where(F.col("begin") >= F.col("timestamp") - _seconds(config.window_seconds)), "user")
+    hits = _first_per(last.where(F.col("own") & (F.col("begin") >= F.col("timestamp") - _seconds(config.window_seconds))), "user")
     n = F.size("ids")
     return _shaped(
         hits,
@@ -82,17 +107,44 @@ def brute_force(events: DataFrame, config: DetectorConfig | None = None) -> Data
 
 
 def _distinct_in_window(rows: DataFrame, key: str, value: str, seconds: int, least: int) -> DataFrame:
-    """The first row per key whose window holds ``least`` distinct non-null values: with ``win`` and ``kinds``."""
-    # a range frame also holds later ids of the same time, which are cut afterwards
-    w = Window.partitionBy(key).orderBy("__s").rangeBetween(-int(seconds) * 1_000_000, 0)
-    cell = F.struct("timestamp", "id", F.col(value).alias("v"))
-    rows = rows.withColumn("__s", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("win", F.collect_list(cell).over(w))
-    upto = F.struct(F.col("timestamp").alias("timestamp"), F.col("id").alias("id"))
-    seen = F.filter("win", lambda x: F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id")) <= upto)
-    rows = rows.withColumn("win", F.array_sort(seen))
+    """The first row per key whose window holds ``least`` distinct non-null values: with ``win`` and ``kinds``.
+
+    Pieces of time are streamed in order, with the times of the ``least``
+    values seen last as all state; windows are made for the winners alone.
+    """
+    least, span = max(1, least), int(seconds) * 1_000_000
+    rows = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), "timestamp", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, done = None, {}, False
+        for b in batches:
+            out = []
+            for k, piece, own, t, i, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (k, piece) != now:
+                    now, seen, done = (k, piece), {}, False
+                if done:
+                    continue
+                seen.pop(v, None)
+                seen[v] = t  # the latest stands last
+                if len(seen) > least:
+                    del seen[next(iter(seen))]
+                if own and len(seen) == least and next(iter(seen.values())) >= t - span:
+                    out.append((k, t, i))
+                    done = True
+            cols = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["k", "t1", "id1"])
+
+    ordered = _pieces(rows.where("v IS NOT NULL"), seconds).select("k", "piece", "own", "t", "id", "v")
+    ordered = ordered.repartition("k", "piece").sortWithinPartitions("k", "piece", "t", "id")
+    hits = ordered.mapInArrow(run, "k string, t1 long, id1 string").groupBy("k").agg(F.min(F.struct("t1", "id1")).alias("h")).select("k", "h.*")
+    # all that the winner's window holds is in its piece and the one before
+    hits = hits.withColumn("t", F.col("t1")).withColumn("p", _piece(seconds)).drop("t").withColumn("piece", F.explode(F.array(F.col("p"), F.col("p") - 1))).drop("p")
+    rows = rows.withColumn("t", _micros(F.col("timestamp"))).withColumn("piece", _piece(seconds))
+    inside = (F.col("t") >= F.col("t1") - span) & (F.struct("t", "id") <= F.struct("t1", "id1"))
+    rows = rows.join(hits, ["k", "piece"]).where(inside)
+    win = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "v"))).alias("win"))
     kinds = F.array_sort(F.array_distinct(F.filter(F.transform("win", lambda x: x["v"]), lambda v: v.isNotNull())))
-    rows = rows.withColumn("kinds", kinds).where(F.size("kinds") >= least)
-    return _first_per(rows.drop("__s"), key)
+    return win.select(F.col("k").alias(key), F.element_at("win", -1)["timestamp"].alias("timestamp"), "win", kinds.alias("kinds"))
 
 
 def password_spray(events: DataFrame, config: DetectorConfig | None = None) -> DataFrame:
@@ -139,45 +191,50 @@ def lateral_movement(events: DataFrame, config: DetectorConfig | None = None) ->
 def failure_then_success(events: DataFrame, config: DetectorConfig | None = None) -> DataFrame:
     """Every success after enough failures of the same user and address in two windows; a hit clears them.
 
-    A gap longer than the window empties it, so events are folded by spells
-    without such a gap: the state that a row holds is one burst of a key, not
-    all that a key ever did. Unknown outcomes only evict, which the next event
-    does as well, and are left out.
+    Successes that would not fire even if nothing had been cleared before are
+    told by pieces of time, however hot the key. What is left, and the failures
+    near it, is streamed by key and time with the window's failures as state,
+    since a clearing may bear on all that follows. Unknown outcomes only
+    evict, which the next event does as well.
     """
     config = config or DetectorConfig()
-    span = 2 * config.window_seconds
+    seconds, least = 2 * config.window_seconds, max(1, config.brute_force_failures)
+    span, key = seconds * 1_000_000, ["user", "source_ip"]
     rows = events.where(F.col("user").isNotNull() & F.col("source_ip").isNotNull() & F.col("outcome").isin("failure", "success"))
-    rows = rows.select("timestamp", "id", "user", "source_ip", "outcome")
-    w = Window.partitionBy("user", "source_ip").orderBy("timestamp", "id")
-    before = F.lag("timestamp").over(w)
-    rows = rows.withColumn("new", F.when(before < F.col("timestamp") - _seconds(span), 1).otherwise(0))
-    rows = rows.withColumn("spell", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spells = rows.groupBy("user", "source_ip", "spell").agg(
-        F.array_sort(F.collect_list(F.struct("timestamp", "id", "outcome"))).alias("all"),
-        F.count_if(F.col("outcome") == "failure").alias("bad"),
-        F.count_if(F.col("outcome") == "success").alias("good"),
-    )
-    spells = spells.where((F.col("bad") >= config.brute_force_failures) & (F.col("good") > 0))
-    ts = dict(rows.dtypes)["timestamp"]
-    cell = f"struct<timestamp:{ts},id:string>"
-    empty = F.struct(
-        F.array().cast(f"array<{cell}>").alias("held"),
-        F.array().cast(f"array<struct<started:{ts},ended:{ts},ids:array<string>>>").alias("hits"),
-    )
-
-    def step(state: Column, e: Column) -> Column:
-        live = F.filter(state["held"], lambda x: x["timestamp"] >= e["timestamp"] - _seconds(span))
-        me = F.struct(e["timestamp"].alias("timestamp"), e["id"].alias("id"))
-        hit = F.struct(
-            F.get(live, F.lit(0))["timestamp"].alias("started"),
-            e["timestamp"].alias("ended"),
-            F.concat(F.transform(live, lambda x: x["id"]), F.array(e["id"])).alias("ids"),
-        )
-        fires = (e["outcome"] == "success") & (F.size(live) >= config.brute_force_failures)
-        held = F.when(e["outcome"] == "failure", F.concat(live, F.array(me))).when(fires, F.array().cast(f"array<{cell}>")).otherwise(live)
-        return F.struct(held.alias("held"), F.when(fires, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"]).alias("hits"))
-
-    folded = spells.select("user", "source_ip", F.explode(F.aggregate("all", empty, step)["hits"]).alias("h"))
+    kind = dict(rows.dtypes)["timestamp"]
+    rows = rows.select("timestamp", "id", *key, (F.col("outcome") == "failure").alias("bad"))
+    each = _pieces(rows, seconds).drop("timestamp")
+    begin = F.lag("t", least - 1).over(Window.partitionBy(*key, "piece", "bad").orderBy("t", "id"))
+    each = each.withColumn("begin", F.when(F.col("bad"), begin if least > 1 else F.col("t")))
+    near = F.last("begin", ignorenulls=True).over(Window.partitionBy(*key, "piece").orderBy("t", "id"))
+    may = each.withColumn("near", near).where("own AND NOT bad").where(F.col("near") >= F.col("t") - span).select(*key, "piece", "t", "id", "bad")
+    may = written(may, "may-fire")
+    hot = may.select(*key, F.explode(F.array(F.col("piece"), F.col("piece") - 1)).alias("piece")).distinct()
+    failed = rows.where("bad").withColumn("t", _micros(F.col("timestamp"))).withColumn("piece", _piece(seconds))
+    failed = failed.join(hot, [*key, "piece"], "left_semi").select(*key, "t", "id", "bad")
+    ordered = failed.unionByName(may.select(*key, "t", "id", "bad")).repartition(*key).sortWithinPartitions(*key, "t", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, deque()
+        for b in batches:
+            out = []
+            for user, ip, t, i, bad in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (user, ip) != now:
+                    now, held = (user, ip), deque()
+                while held and held[0][0] < t - span:
+                    held.popleft()
+                if bad:
+                    held.append((t, i))
+                elif len(held) >= least:
+                    out.append((user, ip, held[0][0], t, [x for _, x in held] + [i]))
+                    held = deque()
+            cols = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["user", "source_ip", "started", "ended", "ids"])
+
+    folded = ordered.mapInArrow(run, "user string, source_ip string, started long, ended long, ids array<string>")
+    started, ended = (F.timestamp_micros(c).cast(kind) for c in ("started", "ended"))
+    folded = folded.select(*key, F.struct(started.alias("started"), ended.alias("ended"), "ids").alias("h"))
     n = _text(F.size("h.ids") - 1)
     return _shaped(
         folded,
