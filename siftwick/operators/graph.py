@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import severity_score
-from ..storage import numbered, remove, written
+from ..storage import counted, numbered, remove, written
 from .components import components
 
 KINDS = (("user", "user"), ("host", "host"), ("ip", "source_ip"))
@@ -105,26 +105,42 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, start: int, weighted: bool, max_rounds: int = 10_000) -> DataFrame:
     """(ord, cost) of every node that ``start`` reaches: hops, or least sum of edge costs.
 
-    Each round joins the nodes whose cost has fallen with their edges and keeps
-    the smallest cost of each node; it ends when none falls.
+    Each round joins the nodes whose cost has fallen, the front, with their
+    edges and writes only those that fall again; it ends when none does. Of
+    hops, a front's neighbours are in it or one step off, so two fronts are
+    all that it is held against; of costs, the smallest of all fronts is.
     """
     spark = edges.sparkSession
     near = written(both_ways(edges), "adjacency")
-    cost = F.col("e.cost") if weighted else F.lit(1).cast("long")
-    state = written(spark.createDataFrame([(start, 0, True)], "ord long, cost long, new boolean"), "distance")
+    fronts = [written(spark.createDataFrame([(start, 0)], "ord long, cost long"), "front")]
     for _ in range(max_rounds):
-        front = state.where("new").alias("s")
-        found = front.join(near.alias("e"), F.col("s.ord") == F.col("e.a")).select(F.col("e.b").alias("ord"), (F.col("s.cost") + cost).alias("cost"))
-        all_ = state.select("ord", "cost", F.lit(False).alias("new")).unionByName(found.select("ord", "cost", F.lit(True).alias("new")))
-        # of equal costs the old row wins, so that only lower ones go on
-        best = all_.groupBy("ord").agg(F.min(F.struct("cost", "new")).alias("m")).select("ord", "m.cost", "m.new")
-        old, state = state, written(best, "distance")
-        remove(old)
-        if state.where("new").limit(1).count() == 0:
-            return state.select("ord", "cost")
+        step = F.col("e.cost") if weighted else F.lit(1).cast("long")
+        found = fronts[-1].alias("s").join(near.alias("e"), F.col("s.ord") == F.col("e.a"))
+        found = found.groupBy(F.col("e.b").alias("ord")).agg(F.min(F.col("s.cost") + step).alias("cost"))
+        if weighted:
+            known = _smallest(fronts).withColumnRenamed("cost", "was")
+            found = found.join(known, "ord", "left").where("was IS NULL OR cost < was").select("ord", "cost")
+        else:
+            for front in fronts[-2:]:
+                found = found.join(front.select("ord"), "ord", "left_anti")
+        front, seen = counted(found, "front", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return _smallest(fronts)
+        fronts.append(front)
+        if weighted and len(fronts) > 8:  # so that plans stay short
+            last = fronts[-1]
+            old, fronts = fronts[:-1], [written(_smallest(fronts[:-1]), "distances"), last]
+            remove(*old)
     raise RuntimeError("distances did not settle; raise max_rounds")
 
 
+def _smallest(fronts: list[DataFrame]) -> DataFrame:
+    out = fronts[0]
+    for front in fronts[1:]:
+        out = out.unionByName(front)
+    return out.groupBy("ord").agg(F.min("cost").alias("cost"))
+
+
 def _numbers(nodes: DataFrame, labels: list[str]) -> dict[str, int]:
     return {r["label"]: r["ord"] for r in nodes.where(F.col("label").isin(labels)).collect()}  # a row per label asked for
 
@@ -188,9 +204,10 @@ def _spark_path(edges: DataFrame, a: int, z: int, mode: str) -> tuple[list[int],
         found = step.select(F.col("e.b").alias("ord"), (F.col("s.cost") + cost).alias("cost"), F.concat("s.route", F.array("e.b")).alias("route"), F.lit(True).alias("new"))
         all_ = state.withColumn("new", F.lit(False)).unionByName(found)
         best = all_.groupBy("ord").agg(F.min(F.struct("cost", "route", "new")).alias("m")).select("ord", "m.cost", "m.route", "m.new")
-        old, state = state, written(best, "route")
+        old = state
+        state, seen = counted(best, "route", n=F.count_if("new"))
         remove(old)
-        if state.where("new").limit(1).count() == 0:
+        if not seen["n"]:
             break
     goal = state.where(F.col("ord") == z).select("cost", "route").first()
     if goal is None:

@@ -47,12 +47,12 @@ def infer_format(path: str) -> str:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines by their place in their file, from 1, blank ones counted.
 
-    Lines keep their order inside a split, and splits of a file are put in a
+    Bytes that are not UTF-8 become U+FFFD. Lines keep their order inside a split, and splits of a file are put in a
     row by where they begin, so only a count per split is sorted.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     raw = raw.select(
-        F.regexp_replace("value", r"\r$", "").alias("value"),
+        F.regexp_replace(F.make_valid_utf8("value"), r"\r$", "").alias("value"),
         F.col("_metadata.file_path").alias("f"),
         F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("at"),
@@ -128,7 +128,7 @@ def read_csv(spark: SparkSession, path: str) -> IngestResult:
     rows = raw.select(*cells, F.col("__short"), F.col("_metadata.file_path").alias("__f"), F.monotonically_increasing_id().alias("__at"))
     rows = written(rows, "csv-rows")
     first = rows.groupBy("__f").agg(F.min("__at").alias("__first"))
-    rows = rows.join(F.broadcast(first), "__f").withColumn("row", F.col("__at") - F.col("__first") + 2)
+    rows = rows.join(first, "__f").withColumn("row", F.col("__at") - F.col("__first") + 2)
     present = F.lit(all(n in names for n in (*REQUIRED, "timestamp", "outcome", "severity")))
     short = F.col("__short").isNotNull() & F.col("message").isNull()
     fine = present & ~short & F.coalesce(F.col("outcome").isin(*OUTCOMES) & F.col("severity").isin(*SEVERITY_SCORE), F.lit(False))
@@ -151,8 +151,10 @@ def read_csv(spark: SparkSession, path: str) -> IngestResult:
 
 
 def ingest(spark: SparkSession, path: str, kind: str | None = None, limits: bool = False) -> IngestResult:
-    """Read a file or folder; with limits, refuse more than 50 MB or 100,000 valid events."""
+    """Read a file or folder; with limits, refuse more than 50 MB or 100,000 valid events, and unless the kind is said, names that do not end in .jsonl or .csv."""
     if limits:
+        if kind is None and path.lower().rsplit(".", 1)[-1] not in ("jsonl", "csv"):
+            raise IngestError("only .jsonl and .csv files are loaded")
         size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
         if size > MAX_BYTES:
             raise IngestError("file limit is 50 MB")
