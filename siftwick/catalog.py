@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_io
 from .functions.text import fingerprint, tokenize
 from .operators import detect, graph, postings, rank
 from .operators.search import page, plan_trace, search, timeline
@@ -20,11 +21,14 @@ from .storage import numbered
 
 #: The window of the detection queries: the table's events are spread over a month.
 WIDE = detect.DetectorConfig(brute_force_failures=3, spray_accounts=4, window_seconds=86_400, lateral_hosts=3)
-START = "user:u8"
+START, GOAL, APART = "user:u8", "user:u12", "user:u9"
 EV = adapters.EVENTS_SQL
 SHOWN = ("id", "timestamp", "user", "host", "source_ip", "outcome", "severity")
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Ends of a range that lie inside the milliseconds of events.
+MS = ("2024-01-01T00:00:07.179600", "2024-01-01T00:03:52.824400")
+
 # name: (query, mode, what DuckDB says for the predicate)
 SEARCHES = {
     "search_exact_and": ("outcome:failure AND user:u8", "indexed", "outcome = 'failure' AND coalesce(\"user\" = 'u8', false)"),
@@ -39,12 +43,20 @@ SEARCHES = {
     "search_attribute_scan": ("k:69", "scan", "k = '69'"),
     "search_missing_field_scan": ("nowhere:invalid", "scan", "message = 'Invalid password'"),
     "search_message_prefix_scan": ("message:inv*", "scan", "message = 'Invalid password'"),
+    "search_message_prefix": ("message:inv* OR severity:critical", "indexed", "severity = 'critical'"),
+    "search_part_of_phrase": ('message:"nvalid passwor" OR user:u8', "indexed", "coalesce(\"user\" = 'u8', false)"),
+    "search_part_of_phrase_scan": ('message:"nvalid passwor" OR user:u8', "scan", "message = 'Invalid password' OR coalesce(\"user\" = 'u8', false)"),
+    "search_blank_phrase": ('" " OR user:u8', "indexed", "coalesce(\"user\" = 'u8', false)"),
+    "search_blank_phrase_scan": ('" "', "scan", "contains(message, ' ')"),
+    "search_milliseconds": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z]", "indexed", f"date_trunc('millisecond', timestamp) BETWEEN date_trunc('millisecond', TIMESTAMP '{MS[0]}') AND date_trunc('millisecond', TIMESTAMP '{MS[1]}')"),
+    "search_milliseconds_scan": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z]", "scan", f"timestamp BETWEEN TIMESTAMP '{MS[0]}' AND TIMESTAMP '{MS[1]}'"),
 }
 DUCK_TOKENS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{M}\p{N}_-]+'), lambda x: x <> '')"
 DUCK_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TEXT_SEARCHES = {
     "search_token": ("idiot", f"list_contains({DUCK_TOKENS}, 'idiot')"),
-    "search_token_prefix": ("text:ouw* AND NOT the", f"len(list_filter({DUCK_TOKENS}, lambda x: starts_with(x, 'ouw'))) > 0 AND NOT list_contains({DUCK_TOKENS}, 'the')"),
+    "search_token_prefix": ("text:idio* AND NOT type:de", f"len(list_filter({DUCK_TOKENS}, lambda x: starts_with(x, 'idio'))) > 0 AND lang <> 'de'"),
+    "search_any_token": ("* AND type:de", f"len({DUCK_TOKENS}) > 0 AND lang = 'de'"),
     "search_phrase": ('message:"of the"', f"list_contains({DUCK_TOKENS}, 'of') AND list_contains({DUCK_TOKENS}, 'the') AND contains({DUCK_LOW}, 'of the')"),
 }
 
@@ -57,6 +69,35 @@ def _text_search(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return search(adapters.document_events(spark, sf_dir), query, ordered=False).select(F.col("id").cast("long").alias("doc_id"), F.col("event_type").alias("lang"))
 
 
+def search_blank_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact values with blanks, on a field."""
+    ev = adapters.events(spark, sf_dir).withColumn("host", F.replace("host", F.lit("-"), F.lit(" ")))
+    return search(ev, 'host:"ws 1 3" OR host:"WS 2 1"', ordered=False).select(*SHOWN)
+
+
+#: Messages beyond Latin, one for each remainder by three: vowel signs, and letters in circles.
+BEYOND = ("हिन्दी भाषा में", "xⓐ b", "ⓐ b c")
+
+
+def search_phrase_beyond_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = adapters.events(spark, sf_dir)
+    ev = ev.withColumn("message", F.element_at(F.array(*map(F.lit, BEYOND)), (F.col("id").cast("long") % 3 + 1).cast("int")))
+    return search(ev, '"हिन्दी भाषा" OR "ⓐ b"', ordered=False).select(*SHOWN)
+
+
+INDEX_SEARCHES = {
+    "index_and_or": ("outcome:failure AND (user:u8 OR host:ws-1*)", "outcome = 'failure' AND (coalesce(\"user\" = 'u8', false) OR coalesce(host LIKE 'ws-1%', false))"),
+    "index_not": ("NOT outcome:success AND NOT type:view", "NOT outcome = 'success' AND NOT event_type = 'view'"),
+    "index_phrase_in_range": ('"invalid password" timestamp:[2024-01-03T00:00:00Z TO 2024-01-09T00:00:00Z]', "message = 'Invalid password' AND timestamp >= '2024-01-03' AND timestamp < '2024-01-09 00:00:00.001'"),
+    "index_prefix_and_exists": ("text:inv* user:* NOT severity:high", "message = 'Invalid password' AND \"user\" IS NOT NULL AND severity <> 'high'"),
+}
+
+
+def _index_search(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    path = catalog_io.place(spark, "index")
+    return postings.Index.build(adapters.events(spark, sf_dir), path).search(query).select(*SHOWN)
+
+
 def search_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(adapters.events(spark, sf_dir), "outcome:failure", limit=100).select("id", "timestamp", "user")
 
@@ -71,8 +112,18 @@ def plan_trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step int, operator string, input_candidates long, output_candidates long, operations long")
 
 
+def plan_trace_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of steps that the other trace has not, with what they say."""
+    plan = plan_trace(adapters.events(spark, sf_dir), 'timestamp:[2024-01-03T00:00:00Z TO 2024-01-09T00:00:00Z] AND (host:ws-1* OR message:"invalid password")')
+    rows = [(i, s.operator, s.detail, s.input_candidates, s.output_candidates, s.operations, s.complexity) for i, s in enumerate(plan.steps)]
+    return spark.createDataFrame(rows, "step int, operator string, detail string, input_candidates long, output_candidates long, operations long, complexity string")
+
+
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.build_postings(sequenced(spark, sf_dir))
+    """Written once, so that both sides of a set operation look terms up in one table."""
+    path = catalog_io.place(spark, "postings")
+    postings.build_postings(sequenced(spark, sf_dir)).sortWithinPartitions("term", "event_seq").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +199,24 @@ def _distances(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     return graph.distances(edges, start, weighted).join(nodes, "ord").select("label", "cost")
 
 
+PATH = "found boolean, mode string, nodes string, cost long, visited long, explanation string"
+
+
 def _path(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Of paths with equal risk cost any may be given, so that mode shows the cost alone."""
+    got = graph.path(*_graph(spark, sf_dir), START, GOAL, mode)
+    hops = mode == "hops"
+    return spark.createDataFrame([(got.found, got.mode, ",".join(got.nodes) if hops else "", got.cost, got.visited if hops else 0, got.explanation)], PATH)
+
+
+def graph_path_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ways not to find a path."""
     nodes, edges = _graph(spark, sf_dir)
-    got = graph.path(nodes, edges, START, "user:u12", mode)
-    return spark.createDataFrame([(got.found, got.mode, ",".join(got.nodes) if mode == "hops" else "", got.cost)], "found boolean, mode string, nodes string, cost long")
+    rows = []
+    for ends in (("user:nobody", START), (START, "host:none"), (START, APART)):
+        got = graph.path(nodes, edges, *ends)
+        rows.append((got.found, got.mode, ",".join(got.nodes), got.cost, got.visited, got.explanation))
+    return spark.createDataFrame(rows, PATH)
 
 
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,23 +238,29 @@ def timeline_mod32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(search(adapters.events(spark, sf_dir), "outcome:failure", ordered=False))
 
 
-def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.generate_events(spark, 10_000).select("id", "timestamp", "source", "user", "host", "source_ip", "outcome", "severity", "message")
+def synthetic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many made-up events the published query finds."""
+    rows = []
+    for n in (1_000, 10_000, 100_000):
+        rows.append((n, search(synthetic.generate_events(spark, n), "outcome:failure AND user:ana", ordered=False).count()))
+    return spark.createDataFrame(rows, "events long, matches long")
 
 
 def synthetic_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect_all(synthetic.generate_events(spark, 4_000)).select("id", "kind", "started_at", "ended_at", F.size("event_ids").alias("n_events"))
+    out = detect.detect_all(synthetic.generate_events(spark, 4_000))
+    return out.select("id", "kind", F.unix_seconds("started_at").alias("started"), F.unix_seconds("ended_at").alias("ended"), F.size("event_ids").cast("long").alias("n_events"))
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: partial(_search, query=q, mode=mode) for name, (q, mode, _) in SEARCHES.items()}
     out |= {name: partial(_text_search, query=q) for name, (q, _) in TEXT_SEARCHES.items()}
+    out |= {name: partial(_index_search, query=q) for name, (q, _) in INDEX_SEARCHES.items()}
     out |= {f"postings_{op.__name__}": partial(_posting_pair, op=op) for op in (postings.intersect, postings.union, postings.difference)}
     out |= {name: partial(_top, field=f, limit=n) for name, (f, n) in TOPS.items()}
     out |= {name: partial(_detections, rule=rule) for name, rule in RULES.items()}
     out |= {"graph_hops_from": partial(_distances, weighted=False), "graph_risk_cost_from": partial(_distances, weighted=True)}
     out |= {"graph_path_hops": partial(_path, mode="hops"), "graph_path_risk": partial(_path, mode="risk")}
-    for f in (search_limit, search_page, plan_trace_counts, postings_lookup, token_frequency, tokenize_documents, duplicate_ids, fingerprint_ids, graph_nodes, graph_edges, graph_stats, graph_components, graph_layout, outcome_severity_counts, severity_score_dist, timeline_mod32, synthetic_events, synthetic_detections):
+    for f in (search_limit, search_page, plan_trace_counts, postings_lookup, token_frequency, tokenize_documents, duplicate_ids, fingerprint_ids, graph_nodes, graph_edges, graph_stats, graph_components, graph_layout, outcome_severity_counts, severity_score_dist, timeline_mod32, synthetic_matches, synthetic_detections, search_blank_field, search_phrase_beyond_latin, plan_trace_kinds, graph_path_none, *catalog_io.QUERIES):
         out[f.__name__] = f
     return out
 
@@ -267,11 +338,29 @@ walk AS (SELECT ord, 0 AS d, 0 AS k FROM nodes WHERE label = '{START}'
 dist AS (SELECT ord, min(d)::BIGINT AS cost FROM walk GROUP BY ord)"""
 
 
+#: Shortest routes by number, as lists; then who is settled before the goal is.
+PATH_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+walk AS (SELECT ord, 0::BIGINT AS d, [ord] AS route FROM nodes WHERE label = '{START}'
+         UNION ALL SELECT b, d + 1, min(route) FROM (SELECT b.b, walk.d, list_append(walk.route, b.b) AS route FROM walk JOIN both_ways b ON b.a = walk.ord WHERE d < 8) GROUP BY b, d),
+best AS (SELECT ord, min(struct_pack(d := d, route := route)) AS s FROM walk GROUP BY ord),
+goal AS (SELECT s FROM best JOIN nodes USING (ord) WHERE label = '{GOAL}'),
+steps AS (SELECT unnest(s.route) AS ord, generate_subscripts(s.route, 1) AS i FROM goal)
+SELECT true AS found, 'hops' AS mode, (SELECT string_agg(label, ',' ORDER BY i) FROM steps JOIN nodes USING (ord)) AS nodes, goal.s.d AS cost,
+       (SELECT count(*) FROM best WHERE best.s <= goal.s) AS visited, '{graph.FOUND['hops']}' AS explanation FROM goal"""
+
+#: Seconds since the first made-up event, which is at this one.
+MADE_AT = 1_785_398_400
+MADE = (("brute-force-ana", "brute-force", 30, 102, 5), ("password-spray-203-0-113-77", "password-spray", 1397, 1575, 5), ("failure-success-ana", "failure-then-success", 30, 180, 8), ("lateral-svc-backup", "lateral-movement", 3000, 3180, 3))
+
+
 def oracle_sql() -> dict[str, str]:
     shown = ", ".join(f'"{c}"' for c in SHOWN)
     out = {name: f"WITH {EV} SELECT {shown} FROM ev WHERE {where}" for name, (_, _, where) in SEARCHES.items()}
     out |= {name: f"SELECT doc_id, lang FROM documents WHERE {where}" for name, (_, where) in TEXT_SEARCHES.items()}
     failed = f"WITH {EV} SELECT id, timestamp, \"user\" FROM ev WHERE outcome = 'failure' ORDER BY timestamp, id"
+    out["search_blank_field"] = f"WITH {EV.replace('ev AS', 'ev0 AS', 1)}, ev AS (SELECT * REPLACE (replace(host, '-', ' ') AS host) FROM ev0) SELECT {shown} FROM ev WHERE host IN ('ws 1 3', 'ws 2 1')"
+    out["search_phrase_beyond_latin"] = f"WITH {EV} SELECT {shown} FROM ev WHERE id::BIGINT % 3 <> 1"
+    out |= {name: f"WITH {EV} SELECT {shown} FROM ev WHERE {where}" for name, (_, where) in INDEX_SEARCHES.items()}
     out["search_limit"] = f"{failed} LIMIT 100"
     out["search_page"] = f"{failed} LIMIT 12 OFFSET 24"
     out["plan_trace_counts"] = f"""WITH {EV},
@@ -282,6 +371,14 @@ SELECT 0 AS step, 'POSTING_LOOKUP' AS operator, n AS input_candidates, f AS outp
 UNION ALL SELECT 1, 'POSTING_LOOKUP', n, u, 1 FROM c UNION ALL SELECT 2, 'POSTING_LOOKUP', n, h, 1 FROM c
 UNION ALL SELECT 3, 'DIFFERENCE', n + h, n - h, n + h FROM c UNION ALL SELECT 4, 'UNION', u + n - h, o, u + n - h FROM c
 UNION ALL SELECT 5, 'INTERSECT', f + o, a, f + o FROM c"""
+    out["plan_trace_kinds"] = f"""WITH {EV}, f AS (SELECT *, timestamp >= '2024-01-03' AND timestamp < '2024-01-09 00:00:00.001' AS r, coalesce(host LIKE 'ws-1%', false) AS h, message = 'Invalid password' AS p FROM ev),
+c AS (SELECT count(*) AS n, count(*) FILTER (timestamp < '2024-01-03') AS b, count(*) FILTER (r) AS r, count(*) FILTER (h) AS h, count(*) FILTER (p) AS p,
+      count(*) FILTER (h OR p) AS o, count(*) FILTER (r AND (h OR p)) AS a FROM f)
+SELECT 0 AS step, 'TIME_RANGE' AS operator, 'binary search temporal index [' || b || ', ' || (b + r) || ')' AS detail, n AS input_candidates, r AS output_candidates, (2 * length(bin(n)) + r)::BIGINT AS operations, 'O(log n + k)' AS complexity FROM c
+UNION ALL SELECT 1, 'TRIE_PREFIX', 'host=ws-1', n, h, 4 + h, 'O(p + k)' FROM c
+UNION ALL SELECT 2, 'PHRASE_VERIFY', 'intersect 2 token lists, then verify phrase', p, p, p + 2, 'O(sum postings + candidates)' FROM c
+UNION ALL SELECT 3, 'UNION', 'deduplicating merge of ordered posting lists', h + p, o, h + p, 'O(n + m)' FROM c
+UNION ALL SELECT 4, 'INTERSECT', 'linear merge of two ordered posting lists', r + o, a, r + o, 'O(n + m)' FROM c"""
     seq = f"WITH {EV}, s AS (SELECT *, row_number() OVER (ORDER BY timestamp, id) - 1 AS event_seq FROM ev)"
     out["postings_lookup"] = f"{seq} SELECT event_seq FROM s WHERE \"user\" = 'u8'"
     for name, op in (("intersect", "INTERSECT"), ("union", "UNION"), ("difference", "EXCEPT")):
@@ -307,6 +404,15 @@ UNION ALL SELECT 5, 'INTERSECT', f + o, a, f + o FROM c"""
     out["graph_components"] = f"{COMP_SQL} SELECT component, count(*) AS n FROM comp GROUP BY 1"
     out["graph_hops_from"] = f"{HOPS_SQL} SELECT label, cost FROM dist JOIN nodes USING (ord)"
     out["graph_risk_cost_from"] = f"{RISK_SQL} SELECT label, cost FROM dist JOIN nodes USING (ord)"
+    out["graph_path_hops"] = PATH_SQL
+    out["graph_path_risk"] = f"{RISK_SQL} SELECT true AS found, 'risk' AS mode, '' AS nodes, cost, 0::BIGINT AS visited, '{graph.FOUND['risk']}' AS explanation FROM dist JOIN nodes USING (ord) WHERE label = '{GOAL}'"
+    none = "SELECT false AS found, 'hops' AS mode, '' AS nodes, 0::BIGINT AS cost, 0::BIGINT AS visited, '{}' AS explanation"
+    apart = f"CASE WHEN EXISTS (SELECT 1 FROM nodes WHERE label = '{APART}') THEN '{graph.NO_PATH}' ELSE '{graph.NO_TARGET}' END"
+    out["graph_path_none"] = f"WITH {GRAPH_SQL} {none.format(graph.NO_SOURCE)} UNION ALL {none.format(graph.NO_TARGET)} UNION ALL {none.format('').replace(chr(39) * 2 + ' AS explanation', apart + ' AS explanation')}"
+    out["synthetic_matches"] = "SELECT * FROM (VALUES (1000::BIGINT, 26::BIGINT), (10000, 221), (100000, 2149)) v(events, matches)"
+    made = ", ".join(f"('{i}-{MADE_AT + b}', '{kind}', {MADE_AT + a}::BIGINT, {MADE_AT + b}::BIGINT, {n}::BIGINT)" for i, kind, a, b, n in MADE)
+    out["synthetic_detections"] = f"SELECT * FROM (VALUES {made}) v(id, kind, started, ended, n_events)"
+    out |= catalog_io.oracle_sql()
     out["graph_layout"] = f"""WITH {GRAPH_SQL}, n AS (SELECT label, ord, 2 * pi() * ord / (SELECT count(*) FROM nodes) - pi() / 2 AS a, 36 + 6 * (ord % 3) AS r FROM nodes)
 SELECT label, round(50 + cos(a) * r, 6) AS x, round(50 + sin(a) * r, 6) AS y FROM n"""
     out["outcome_severity_counts"] = f"WITH {EV} SELECT outcome, severity, count(*) AS n FROM ev GROUP BY ALL"
