@@ -12,7 +12,8 @@ from .common import ascii_lower, by_ids, columns_of, file_system, new_path, remo
 
 #: Batches in which a table meets the index.
 BATCHES = 2
-BUCKETS = 64
+#: Buckets of an index at least, and texts that one more bucket is for.
+BUCKETS, TEXTS_PER_BUCKET = 64, 2_000_000
 
 
 def text_digest(text: Column) -> Column:
@@ -100,16 +101,16 @@ def exact_dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
     text, from an earlier batch or an earlier call. Then none stays, and
     ``keep_id`` is the indexed id. What a batch brings is appended.
     ``group_size`` counts the table's rows. Empty tables give empty tables;
-    other columns are not read. Without an index of the caller's, one is made
-    and deleted.
+    other columns are not read. Without an index of the caller's, one is made,
+    with as many buckets as the texts need, and deleted.
 
     Groups are summed before the shuffle, so a digest that holds a third of
     all rows is one row a task there. The only join with a row per document
     carries id and digest, and Spark may split its hot digests.
     """
     own = index is None
-    index = index or DigestIndex(df.sparkSession)
     ids = digests(df, id_col, text_col)
+    index = index or DigestIndex(df.sparkSession, max(BUCKETS, ids.count() // TEXTS_PER_BUCKET))
     parts = []
     for part in falling(ids, batches):
         groups = part.groupBy("digest").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "rid")).alias("top"))
