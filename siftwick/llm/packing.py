@@ -150,9 +150,11 @@ def pack(df: DataFrame, capacity: int = 2048, json_path: str | None = None, rank
     Every partition of the input is packed by itself, without a shuffle and
     with memory for one open bin a class, so workers share nothing; bins are
     numbered by partition (sequence_id = partition << 32 | bin). A lost task
-    reads the same split again and gives the same rows. Null texts are empty:
-    one piece that holds the end id. Repeated rows are packed each. Empty
-    partitions and tables give no rows; other columns are not read.
+    reads the same split again and gives the same rows. Texts of any length
+    are cut into as many sequences as they fill; one text is what a task holds.
+    Null texts are empty: one piece that holds the end id. Repeated rows are
+    packed each, null ids too, and pieces of one length go into bins as they
+    come. Empty partitions and tables give no rows; other columns are not read.
     """
     if json_path is None:
         json_path, ranks_path = default_files()
