@@ -48,8 +48,8 @@ SEARCHES = {
     "search_part_of_phrase_scan": ('message:"nvalid passwor" OR user:u8', "scan", "message = 'Invalid password' OR coalesce(\"user\" = 'u8', false)"),
     "search_blank_phrase": ('" " OR user:u8', "indexed", "coalesce(\"user\" = 'u8', false)"),
     "search_blank_phrase_scan": ('" "', "scan", "contains(message, ' ')"),
-    "search_milliseconds": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z]", "indexed", f"date_trunc('millisecond', timestamp) BETWEEN date_trunc('millisecond', TIMESTAMP '{MS[0]}') AND date_trunc('millisecond', TIMESTAMP '{MS[1]}')"),
-    "search_milliseconds_scan": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z]", "scan", f"timestamp BETWEEN TIMESTAMP '{MS[0]}' AND TIMESTAMP '{MS[1]}'"),
+    "search_milliseconds": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z] OR user:u7", "indexed", f"coalesce(\"user\" = 'u7', false) OR date_trunc('millisecond', timestamp) BETWEEN date_trunc('millisecond', TIMESTAMP '{MS[0]}') AND date_trunc('millisecond', TIMESTAMP '{MS[1]}')"),
+    "search_milliseconds_scan": (f"timestamp:[{MS[0]}Z TO {MS[1]}Z] OR user:u7", "scan", f"coalesce(\"user\" = 'u7', false) OR timestamp BETWEEN TIMESTAMP '{MS[0]}' AND TIMESTAMP '{MS[1]}'"),
 }
 DUCK_TOKENS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{M}\p{N}_-]+'), lambda x: x <> '')"
 DUCK_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
