@@ -27,17 +27,16 @@ LABELS_SENT = 10_000
 MAX_FEATURES = 60_000
 MAX_CHAINS, CHAINS_PER_LANGUAGE = 3_000, 20
 #: Numbers (a word has one for each language) that are held at a time.
-CACHED, BLOCK, FRESH = 360_000, 160_000, 200_000
+CACHED, BLOCK, FRESH = 560_000, 240_000, 200_000
 #: Up to so many languages messages are carried by products of matrices.
 FEW = 16
 
 
-def features(word: str) -> Iterator[str]:
+def features(word: str) -> list[str]:
     """Lexicon, affix and n-gram features of a whole lower-case word of any length."""
-    yield from ("=" + word, "^" + word[:1], "^" + word[:2], "$" + word[-1:], "$" + word[-2:], "$" + word[-4:])
     b = f"<{word}>"
-    yield from (b[i : i + 3] for i in range(len(b) - 2))
-    yield from (word[i : i + 2] for i in range(len(word) - 1))
+    own = ["=" + word, "^" + word[:1], "^" + word[:2], "$" + word[-1:], "$" + word[-2:], "$" + word[-4:]]
+    return [*own, *[b[i : i + 3] for i in range(len(b) - 2)], *[word[i : i + 2] for i in range(len(word) - 1)]]
 
 
 def scan(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray, width: int = 160) -> np.ndarray:
