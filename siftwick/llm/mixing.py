@@ -73,7 +73,7 @@ def domain_of() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(u, text, domain) of about ROWS_PER_DOMAIN labelled rows for each domain, fixed by their ids; texts of any length.
+    """(doc_id, u, text, domain) of about ROWS_PER_DOMAIN labelled ids for each domain, fixed by the ids; texts of any length.
 
     The sample is drawn from the labels, so that its ids, a bounded number, go
     to the texts, and no texts are moved.
@@ -86,7 +86,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         wanted |= (F.col("domain") == d) & (unit_hash(F.col("doc_id"), F.lit("sample")) < F.lit(ROWS_PER_DOMAIN / n))
     drawn = known.where(wanted).limit(2 * ROWS_PER_DOMAIN * max(1, len(sizes)))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
-    return rows.select(unit_hash(F.col("doc_id"), F.col("text"), F.lit("half")).alias("u"), "text", "domain")
+    return rows.select("doc_id", unit_hash(F.col("doc_id"), F.col("text"), F.lit("half")).alias("u"), "text", "domain")
 
 
 def lexicon(rows: DataFrame, domains: list[str]) -> tuple[dict[str, int], np.ndarray]:
@@ -131,8 +131,8 @@ def softmax(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """Learn the domains from the sample: word log-odds from one half of it, softmax weights from the other.
 
-    Whole texts are read in tasks; words and a few numbers a row come to the
-    driver. None if no text is labelled.
+    Whole texts are read in tasks; words and a few numbers an id come to the
+    driver, however many rows share the id. None if no text is labelled.
     """
     rows = written(sample(docs, labels), "sample")
     domains = [r[0] for r in rows.select("domain").distinct().orderBy("domain").collect()]  # a row per domain
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
         for texts in arrays:
             yield pa.array([model.raw(t)[0] for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    got = halves[1].select("u", "domain", F.arrow_udf(run, "array<double>")("text").alias("x")).orderBy("u", "domain").collect()
+    shapes = halves[1].select("doc_id", F.struct("u", "domain", F.arrow_udf(run, "array<double>")("text").alias("x")).alias("r"))
+    got = shapes.groupBy("doc_id").agg(F.min("r").alias("r")).select("r.*").orderBy("u", "domain").collect()
     remove(rows)
     x = np.array([r["x"] for r in got])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6

@@ -104,3 +104,12 @@ def test_query_against_plain_gradient(docs, spark):
         else:
             size /= 2
     assert np.allclose([r[2] for r in got], rate, atol=1e-6)
+
+
+def test_an_id_of_many_rows_sends_one(spark, monkeypatch):
+    rows = [(1, f"good plain words number {i}") for i in range(400)] + [(i, f"some other text {i}") for i in range(2, 30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    seen, softmax = [], mixing.softmax
+    monkeypatch.setattr(mixing, "softmax", lambda x, y: seen.append(len(x)) or softmax(x, y))
+    assert mixing.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert 0 < seen[0] <= 29
