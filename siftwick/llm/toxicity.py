@@ -297,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     else:
         model = Model(table=ratios)
     pairs = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")
-    # two numbers for each row of the sample come to the driver
-    got = scored(pairs, model, "toxic").select("x", F.col("toxic").cast("double").alias("y")).toArrow()
+    # two numbers for each id of the sample come to the driver, however many rows share it
+    each = scored(pairs, model, "toxic").groupBy("doc_id").agg(F.max(F.struct("x", F.col("toxic").cast("double").alias("y"))).alias("r"))
+    got = each.select("r.*").toArrow()
     x, y = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, 2), got.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
         slopes, model.base = logistic(x, y)

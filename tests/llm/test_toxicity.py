@@ -134,3 +134,13 @@ def test_long_words_are_read_to_their_end(n):
     w = f"^{word}$"
     assert got == ["^a", "^a$", *[w[max(0, i - 5) : i + 1] for i in range(1, len(w))], "^b", "^b$"]
     assert all(len(x) <= 46 for x in tox.words_of(word))
+
+
+def test_an_id_of_many_rows_sends_one(spark, monkeypatch):
+    ids = list(range(1, 60))
+    rows = [(i, f"text {i} of plain words") for i in ids] + [(i, f"copy {k} of an id") for i in ids for k in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen, logistic = [], tox.logistic
+    monkeypatch.setattr(tox, "logistic", lambda x, y: seen.append(len(x)) or logistic(x, y))
+    assert tox.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert 1 < seen[0] < len(ids)
