@@ -188,14 +188,45 @@ def lateral_movement(events: DataFrame, config: DetectorConfig | None = None) ->
     )
 
 
+def _stretches(rows: DataFrame, key: list[str], seconds: int, least: int) -> DataFrame:
+    """The successes that may fire and the failures near them, each with the number of its stretch of its key.
+
+    A success may fire if enough failures stand in its window, whatever was
+    cleared before. It is sure to if the last of them all come after the last
+    success that may have cleared some; then nothing is held after it, and the
+    next event begins a stretch of its own. Both are told by pieces of time, and
+    a key's stretches are counted by its pieces, so a hot key is cut wherever a
+    hit is sure. Only a key that fires for so long without such a hit is one
+    stretch, since a clearing then may bear on all that follows.
+    """
+    here = Window.partitionBy(*key, "piece").orderBy("t", "id")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    each = _pieces(rows, seconds).drop("timestamp").withColumn("r", F.row_number().over(here))
+    spot = F.struct("t", "r")
+    begin = F.lag(spot, least - 1).over(Window.partitionBy(*key, "piece", "bad").orderBy("t", "id")) if least > 1 else spot
+    each = each.withColumn("begin", F.when(F.col("bad"), begin))
+    each = each.withColumn("near", F.last("begin", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    fires = ~F.col("bad") & F.coalesce(F.col("near.t") >= F.col("t") - seconds * 1_000_000, F.lit(False))
+    # of the piece before not all is here that its successes see, so any of them may have cleared
+    each = each.withColumn("fires", F.when(F.col("own"), fires).otherwise(~F.col("bad")))
+    each = each.withColumn("cleared", F.max(F.when(F.col("fires"), F.col("r"))).over(before))
+    sure = (F.col("near.r") > F.coalesce("cleared", F.lit(0))).cast("int")
+    may = written(each.where("own AND fires").select(*key, "piece", "t", "id", "bad", sure.alias("sure")), "may-fire")
+    hot = may.select(*key, F.inline(F.array(F.struct("piece", "sure"), F.struct((F.col("piece") - 1).alias("piece"), F.lit(0).alias("sure")))))
+    hot = hot.groupBy(*key, "piece").agg(F.sum("sure").alias("hits"))
+    past = Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    hot = hot.select(*key, "piece", F.coalesce(F.sum("hits").over(past), F.lit(0)).alias("past"))
+    failed = rows.where("bad").withColumn("t", _micros(F.col("timestamp"))).withColumn("piece", _piece(seconds))
+    both = failed.select(*key, "piece", "t", "id", "bad", F.lit(0).alias("sure")).unionByName(may).join(hot, [*key, "piece"])
+    return both.withColumn("stretch", F.col("past") + F.coalesce(F.sum("sure").over(before), F.lit(0)))
+
+
 def failure_then_success(events: DataFrame, config: DetectorConfig | None = None) -> DataFrame:
     """Every success after enough failures of the same user and address in two windows; a hit clears them.
 
-    Successes that would not fire even if nothing had been cleared before are
-    told by pieces of time, however hot the key. What is left, and the failures
-    near it, is streamed by key and time with the window's failures as state,
-    since a clearing may bear on all that follows. Unknown outcomes only
-    evict, which the next event does as well.
+    What may fire is streamed by stretch (``_stretches``) and time with the
+    window's failures as state. Unknown outcomes only evict, which the next
+    event does as well.
     """
     config = config or DetectorConfig()
     seconds, least = 2 * config.window_seconds, max(1, config.brute_force_failures)
@@ -203,24 +234,16 @@ def failure_then_success(events: DataFrame, config: DetectorConfig | None = None
     rows = events.where(F.col("user").isNotNull() & F.col("source_ip").isNotNull() & F.col("outcome").isin("failure", "success"))
     kind = dict(rows.dtypes)["timestamp"]
     rows = rows.select("timestamp", "id", *key, (F.col("outcome") == "failure").alias("bad"))
-    each = _pieces(rows, seconds).drop("timestamp")
-    begin = F.lag("t", least - 1).over(Window.partitionBy(*key, "piece", "bad").orderBy("t", "id"))
-    each = each.withColumn("begin", F.when(F.col("bad"), begin if least > 1 else F.col("t")))
-    near = F.last("begin", ignorenulls=True).over(Window.partitionBy(*key, "piece").orderBy("t", "id"))
-    may = each.withColumn("near", near).where("own AND NOT bad").where(F.col("near") >= F.col("t") - span).select(*key, "piece", "t", "id", "bad")
-    may = written(may, "may-fire")
-    hot = may.select(*key, F.explode(F.array(F.col("piece"), F.col("piece") - 1)).alias("piece")).distinct()
-    failed = rows.where("bad").withColumn("t", _micros(F.col("timestamp"))).withColumn("piece", _piece(seconds))
-    failed = failed.join(hot, [*key, "piece"], "left_semi").select(*key, "t", "id", "bad")
-    ordered = failed.unionByName(may.select(*key, "t", "id", "bad")).repartition(*key).sortWithinPartitions(*key, "t", "id")
+    ordered = _stretches(rows, key, seconds, least).select(*key, "stretch", "t", "id", "bad")
+    ordered = ordered.repartition(*key, "stretch").sortWithinPartitions(*key, "stretch", "t", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, deque()
         for b in batches:
             out = []
-            for user, ip, t, i, bad in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (user, ip) != now:
-                    now, held = (user, ip), deque()
+            for user, ip, part, t, i, bad in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (user, ip, part) != now:
+                    now, held = (user, ip, part), deque()
                 while held and held[0][0] < t - span:
                     held.popleft()
                 if bad:

@@ -83,6 +83,17 @@ def test_rules_against_plain_python(spark, seed):
     assert sorted((r["started_at"], r["ended_at"]) for r in got) == sorted((when[a], when[z]) for _, _, a, z, _ in want)
 
 
+@pytest.mark.parametrize(("seed", "share", "least"), [(0, 0.8, 3), (1, 0.6, 3), (2, 0.5, 1), (3, 0.4, 4), (4, 0.7, 2)])
+def test_stretches_of_one_key(spark, seed, share, least):
+    """One account under attack without a pause: a hit clears what later ones would need."""
+    rng = random.Random(seed)
+    rows = [event(f"e{i:03}", rng.randrange(0, 2500), user="ana", host="h1", ip="10.0.0.1", outcome="failure" if rng.random() < share else "success", severity="low") for i in range(300)]
+    config = detect.DetectorConfig(brute_force_failures=least, window_seconds=40)
+    got = sorted(r["event_ids"] for r in detect.failure_then_success(made(spark, *rows), config).collect())
+    assert got == sorted(i for k, _, _, _, i in plain(rows, config) if k == "failure-then-success")
+    assert len(got) > 5
+
+
 def test_a_busy_key_is_cut_by_time(spark):
     """A third of all events are one address's and one account's; no task gets them all."""
     n = 30_000
@@ -105,6 +116,10 @@ def test_a_busy_key_is_cut_by_time(spark):
     kinds = [r["kind"] for r in got]
     assert kinds.count("brute-force") == 1 and kinds.count("failure-then-success") == n // 30 - 1
     assert all(len(r["event_ids"]) == 10 for r in got if r["kind"] == "failure-then-success")
+    # an attack without a pause is cut at every hit that is sure
+    logins = rows.where("user = 'svc'").select("timestamp", "id", "user", "source_ip", (F.col("outcome") == "failure").alias("bad"))
+    parts = detect._stretches(logins, ["user", "source_ip"], 600, 5).groupBy("user", "source_ip", "stretch").count()
+    assert parts.count() > n // 30 - 2 and parts.agg(F.max("count")).first()[0] <= 20
     # failures once in ten minutes are nothing that is streamed
     slow = rows.where("int(substring(id, 2)) % 30 IN (0, 3)")
     assert detect.failure_then_success(slow, detect.DetectorConfig()).count() == 0
